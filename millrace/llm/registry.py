@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from millrace.llm import mixing
+from millrace.llm import mixing, simhash
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op8_simhash": simhash.op8_simhash,
 }
 ORACLE_SQL = {
     "op1_mixing": mixing.OP1_SQL,
