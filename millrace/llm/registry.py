@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from millrace.llm import mixing, simhash
+from millrace.llm import mixing, packing, simhash
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_packing": packing.op2_packing,
     "op8_simhash": simhash.op8_simhash,
 }
 ORACLE_SQL = {
