@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from millrace.llm import mixing, packing, recompression, scoring, simhash
+from millrace.llm import chat, mixing, packing, recompression, scoring, simhash
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_packing": packing.op2_packing,
+    "op7_chat": chat.op7_chat,
     "op8_simhash": simhash.op8_simhash,
     "op9_scoring": scoring.op9_scoring,
     "op10_recompression": recompression.op10_recompression,
 }
 ORACLE_SQL = {
     "op1_mixing": mixing.OP1_SQL,
+    "op7_chat": chat.OP7_SQL,
     "op9_scoring": scoring.OP9_SQL,
 }
