@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from millrace.llm import chat, mixing, packing, recompression, scoring, simhash
+from millrace.llm import chat, digest, mixing, packing, recompression, scoring, simhash
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_packing": packing.op2_packing,
+    "op5_digest": digest.op5_digest,
     "op7_chat": chat.op7_chat,
     "op8_simhash": simhash.op8_simhash,
     "op9_scoring": scoring.op9_scoring,
