@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from millrace.llm import chat, digest, mixing, packing, recompression, scoring, simhash
+from millrace.llm import chat, digest, mixing, packing, recompression, scoring, search, simhash
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_packing": packing.op2_packing,
     "op5_digest": digest.op5_digest,
+    "op6_search": search.op6_search,
     "op7_chat": chat.op7_chat,
     "op8_simhash": simhash.op8_simhash,
     "op9_scoring": scoring.op9_scoring,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_mixing": mixing.OP1_SQL,
+    "op6_search": search.OP6_SQL,
     "op7_chat": chat.OP7_SQL,
     "op9_scoring": scoring.OP9_SQL,
 }
