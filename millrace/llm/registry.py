@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from millrace.llm import chat, digest, mixing, packing, recompression, scoring, search, simhash, toxicity
+from millrace.llm import chat, digest, mixing, packing, pii, recompression, scoring, search, simhash, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_packing": packing.op2_packing,
+    "op3_pii": pii.op3_pii,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_digest": digest.op5_digest,
     "op6_search": search.op6_search,
