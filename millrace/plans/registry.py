@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from millrace.plans import queries as q
+from millrace.plans.oracle import ORACLE_SQL
+
+#: synthetic_evaluation trains forests: it has no SQL.
+QUERIES = {name: getattr(q, name if name != "episodes" else "episodes_query") for name in [*ORACLE_SQL, "synthetic_evaluation"]}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
