@@ -36,33 +36,71 @@ CAPACITY = 2048
 END_ID = 1
 #: Groups of pieces of one length that are numbered apart.
 SALTS = 256
-#: Words whose ids a worker keeps.
-WORDS_KEPT = 400_000
+#: Words whose ids a worker keeps in each of two generations.
+WORDS_KEPT = 500_000
+#: Words encoded in one call.
+WORDS_AT_ONCE = 16_384
 
-_cache: dict[str, dict[bytes, bytes]] = {}
-_tokenizers: dict = {}
+_workers: dict = {}
 
 
-def word_ids(path: str, words: list[bytes]) -> dict[bytes, bytes]:
-    """The ids, as little-endian unsigned 32-bit bytes, of each white-space-separated word.
+class Words:
+    """The ids of single words as little-endian unsigned 32-bit bytes, kept for the words met lately.
 
     The vocabulary's normaliser and splitter never look across ASCII white space, so a
-    text's ids are its words' ids in order; each distinct word is encoded once a worker.
+    text's ids are its words' ids in order, and each word is encoded once as long as it
+    stays in use: when the young generation is full it becomes the old one, and words of
+    the old one that are met again move back.
     """
-    if path not in _tokenizers:
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path], _cache[path] = Tokenizer.from_file(path), {}
-    known = _cache[path]
-    new = [w for w in set(words) if w not in known]
-    if len(known) + len(new) > WORDS_KEPT:
-        known.clear()
-        new = list(set(words))
-    if new:
-        encoded = _tokenizers[path].encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)
-        known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(new, encoded, strict=True))
-    return known
+        self.tokenizer = Tokenizer.from_file(path)
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def ids(self, words: list[bytes]) -> list[bytes]:
+        found = list(map(self.young.get, words))
+        if None not in found:
+            return found
+        missing = {w for w, x in zip(words, found, strict=True) if x is None}
+        if len(self.young) + len(missing) > WORDS_KEPT:
+            self.young, self.old = {}, self.young
+            missing = set(words)
+        fresh = {w: x for w in missing if (x := self.old.get(w)) is not None}
+        new = [w for w in missing if w not in fresh]
+        for at in range(0, len(new), WORDS_AT_ONCE):
+            part = new[at : at + WORDS_AT_ONCE]
+            encoded = self.tokenizer.encode([w.decode("utf-8") for w in part], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(encoded.ids, dtype="<u4").tobytes()
+            cuts = (4 * np.searchsorted(np.array(encoded.word_ids, dtype=np.int64), np.arange(len(part) + 1))).tolist()
+            fresh.update((w, ids[a:b]) for w, a, b in zip(part, cuts, cuts[1:], strict=False))
+        self.young.update(fresh)
+        return list(map(self.young.__getitem__, words))
+
+
+_ALNUM, _SPACE, _STOP = (np.zeros(256, dtype=bool) for _ in range(3))
+_ALNUM[48:58] = _ALNUM[97:123] = True
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_STOP[[44, 46]] = True
+
+
+def parted(data: np.ndarray, offsets: np.ndarray) -> tuple[bytes, list[int]]:
+    """The texts with fewer distinct words and the same ids: the vocabulary knows lower case alone, and
+    always cuts between a letter or digit and a comma or full stop that ends its word.
+
+    Special tokens are the one thing that case matters for; texts that may hold one stay as they are.
+    """
+    raw = data.tobytes()
+    if b"<|" in raw:
+        return raw, offsets.tolist()
+    low = np.frombuffer(raw.lower(), dtype=np.uint8)
+    at = np.flatnonzero(_STOP[low[1:-1]] & _ALNUM[low[:-2]] & _SPACE[low[2:]]) + 1
+    # A cut in front of a text's first byte would belong to the text before it.
+    at = np.setdiff1d(at, offsets, assume_unique=True)
+    return np.insert(low, at, 32).tobytes(), (offsets + np.searchsorted(at, offsets)).tolist()
 
 
 def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
@@ -73,13 +111,14 @@ def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bo
     end, width = np.array([END_ID], dtype="<u4").tobytes(), 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if path not in _workers:
+            _workers[path] = Words(path)
+        words = _workers[path]
         for batch in steps(batches, "text"):
-            data, offsets = utf8(batch.column(1))
-            data, offsets, rows = data.tobytes(), offsets.tolist(), []
-            texts = [data[a:b].split() for a, b in zip(offsets, offsets[1:], strict=False)]
-            known = word_ids(path, [w for words in texts for w in words])
-            for doc_id, words in zip(batch.column(0).to_pylist(), texts, strict=True):
-                ids = b"".join([known[w] for w in words]) + end
+            data, offsets = parted(*utf8(batch.column(1)))
+            rows = []
+            for doc_id, a, b in zip(batch.column(0).to_pylist(), offsets, offsets[1:], strict=False):
+                ids = b"".join(words.ids(data[a:b].split())) + end
                 for at in range(0, len(ids), width):
                     piece = ids[at : at + width]
                     rows.append((doc_id, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, piece))
