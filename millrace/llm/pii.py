@@ -378,5 +378,8 @@ def op3_pii(spark, sf_dir: str) -> DataFrame:
     def line(column: str):
         return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
-    counts = [F.size(F.filter("_pii_base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    def is_kind(kind: str):
+        return lambda s: s["kind"] == kind
+
+    counts = [F.size(F.filter("_pii_base", is_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return marked.select("doc_id", *counts, F.sha2(line("_pii_base").cast("binary"), 256).alias("base_sha256"), line("_pii_all").alias("spans"))
