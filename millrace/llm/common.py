@@ -42,11 +42,24 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: While set, the shuffle files of a finished query are removed at once.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back; it goes when the driver ends."""
+    """Writes df as a table in the shared folder and reads it back; it goes when the driver ends.
+
+    The table is what later steps read, so the shuffles that made it are let go once it is
+    complete; until then a lost executor's part is made again from them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_SHUFFLES, "false")
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_SHUFFLES, before)
 
     def gone() -> None:
         try:
@@ -125,15 +138,23 @@ def powers(n: int) -> np.ndarray:
     return _powers[:n]
 
 
+#: Bytes of words that are named at a time.
+NAME_BYTES = 1 << 18
+
+
 def word_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit name for each word that depends on its bytes alone."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    lengths = ends - starts
-    first = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(first, lengths)
-    values = _MIX[data[np.repeat(starts, lengths) + place]] * powers(int(lengths.max()))[place]
-    return scrambled(np.add.reduceat(values, first) + lengths.astype(np.uint64))
+    out = np.zeros(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):  # so many bytes at a time: each takes several words of working memory
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + NAME_BYTES)))
+        a, lengths = starts[at:to], ends[at:to] - starts[at:to]
+        first = np.cumsum(lengths) - lengths
+        place = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(first, lengths)
+        values = _MIX[data[np.repeat(a, lengths) + place]] * powers(int(lengths.max()))[place]
+        out[at:to] = np.add.reduceat(values, first) + lengths.astype(np.uint64)
+        at = to
+    return scrambled(out)
 
 
 def window_names(names: np.ndarray, counts: np.ndarray, width: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import steps, stored, utf8
 
 #: Bytes of text in a block; a longer document is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Names in a bucket, about.
 BUCKET_NAMES = 2 << 20
 #: Buckets at least, as a power of two.

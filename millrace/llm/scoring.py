@@ -3,9 +3,10 @@
 The count tables of words, pairs and triples are keyed by 64-bit n-gram names and
 partitioned by the names' hash (their leading bits). Each block of documents explodes
 its n-grams, asks the tables for the distinct ones among them with its own counts, and
-the tables' partitions add those up: what is gathered is every distinct n-gram of every
-block, so it grows with the input. The answers are joined back to the block's n-grams
-and summed per document.
+the tables' partitions add those up: what is gathered is every distinct word and pair of
+every block, so it grows with the input. The answers are joined back to the block's
+n-grams and summed per document. Triples are asked for in a second round, and only where
+both of their pairs occur in other documents: no other triple can.
 
 A document is scored against the rest of the corpus: its own occurrences are taken off
 every count, so its rare phrases do back off. The score of word w3 after w1 w2, with
@@ -43,16 +44,47 @@ BACKOFF = 0.4
 
 
 class Grams:
-    """A block's n-grams: per order the names, where they start, and the distinct ones of all."""
+    """A block's words and pairs: names per order, where they start, and the distinct ones of both."""
 
     def __init__(self, block: Block):
         starts, ends, self.counts = word_spans(block.data, block.offsets)
-        names = word_names(block.data, starts, ends)
-        self.n = len(names)
+        self.names = word_names(block.data, starts, ends)
+        self.n = len(self.names)
         self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
-        self.orders = [window_names(names, self.counts, k, salt=10 + k) for k in range(1, ORDER + 1)]
-        every = np.concatenate([x for x, _ in self.orders])
-        self.distinct, self.place, self.own = np.unique(every, return_inverse=True, return_counts=True)
+        self.orders = [window_names(self.names, self.counts, k, salt=10 + k) for k in (1, 2)]
+        self.distinct, self.place, self.own = np.unique(np.concatenate([x for x, _ in self.orders]), return_inverse=True, return_counts=True)
+
+    def elsewhere(self, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By place of the last word: how often that word, and the pair ending there, occur in other documents."""
+        one, two = np.zeros(self.n, dtype=np.int64), np.zeros(self.n, dtype=np.int64)
+        first = 0
+        for k, (names, at) in enumerate(self.orders):
+            place = self.place[first : first + len(names)]
+            (one, two)[k][at + k] = total[place] - _own(names, self.doc[at])
+            first += len(names)
+        return one, two
+
+    def triples(self, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Names and starts of the triples that may occur in other documents: those both of whose pairs do."""
+        names, at = window_names(self.names, self.counts, ORDER, salt=10 + ORDER)
+        some = (two[at + 1] > 0) & (two[at + 2] > 0)
+        return names[some], at[some]
+
+
+def _own(names: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """How often each name occurs in its own document."""
+    key = scrambled(names + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    _, inverse, own = np.unique(key, return_inverse=True, return_counts=True)
+    return own[inverse]
+
+
+def _asks(block: int, distinct: np.ndarray, own: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Names with their counts in the block; the first byte of a bucket's counts tells their width."""
+    most = int(own.max()) if len(own) else 0
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+    batch = asked(block, distinct, own.astype(f"<u{width}"), bits)
+    counts = [zlib.compress(bytes([width]) + x, 1) for x in batch.column("extra").to_pylist()]
+    return batch.set_column(3, "extra", pa.array(counts, type=pa.binary()))
 
 
 def _counts(answers: np.ndarray) -> bytes:
@@ -67,57 +99,52 @@ def _read(part: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(part), dtype="<u4").astype(np.int64)
 
 
-def _less_own(g: Grams, order: int, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of an order's n-grams in other documents, and where the n-grams start."""
-    first = sum(len(x) for x, _ in g.orders[: order - 1])
-    names, at = g.orders[order - 1]
-    place = g.place[first : first + len(names)]
-    key = scrambled(names + g.doc[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) if len(at) else names
-    _, inverse, own = np.unique(key, return_inverse=True, return_counts=True)
-    return total[place] - own[inverse], at
+def _add(names: np.ndarray, order: np.ndarray, extras: list[bytes]) -> np.ndarray:
+    """Sums of all blocks' counts of every name."""
+    opened = [zlib.decompress(x) for x in extras]
+    own = np.concatenate([np.frombuffer(x, dtype=f"<u{x[0]}", offset=1).astype(np.int64) for x in opened])[order]
+    first = np.concatenate([[0], np.flatnonzero(names[1:] != names[:-1]) + 1])
+    return np.repeat(np.add.reduceat(own, first), np.diff(np.append(first, len(names))))
+
+
+def _all(parts: list[bytes]) -> np.ndarray:
+    return np.concatenate([_read(x) for x in parts]) if parts else np.zeros(0, np.int64)
 
 
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, by_triple, by_pair, by_word (words scored at each order) and mean_log_score."""
     table = blocks(docs, "scoring-blocks", lambda data, offsets: int(word_spans(data, offsets)[2].sum()))
     words = int(table.agg(F.sum("words")).first()[0] or 0)
-    bits = bits_for(2 * words)
+    bits = bits_for(words)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                block = Block(row)
-                g = Grams(block)
-                most = int(g.own.max()) if len(g.own) else 0
-                width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
-                # The first byte of each bucket's counts tells their width.
-                for part in asked(block.block, g.distinct, g.own.astype(f"<u{width}"), bits).to_pylist():
-                    part["extra"] = zlib.compress(bytes([width]) + part["extra"], 1)
-                    yield pa.RecordBatch.from_pylist([part], schema=pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("names", pa.binary()), ("extra", pa.binary())]))
-
-    def add(names: np.ndarray, order: np.ndarray, extras: list[bytes]) -> np.ndarray:
-        opened = [zlib.decompress(x) for x in extras]
-        own = np.concatenate([np.frombuffer(x, dtype=f"<u{x[0]}", offset=1).astype(np.int64) for x in opened])[order]
-        first = np.concatenate([[0], np.flatnonzero(names[1:] != names[:-1]) + 1])
-        return np.repeat(np.add.reduceat(own, first), np.diff(np.append(first, len(names))))
-
-    totals = answered(table.mapInArrow(ask, ASK_SCHEMA), add, _counts, "scoring-counts")
-
-    def score(block: Block, parts: list[bytes]) -> Iterator[pa.RecordBatch]:
+                g = Grams(Block(row))
+                yield _asks(row["block"], g.distinct, g.own, bits)
+
+    low = answered(table.mapInArrow(ask, ASK_SCHEMA), _add, _counts, "scoring-pairs")
+
+    def ask_triples(block: Block, parts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        g = Grams(block)
+        names, _ = g.triples(g.elsewhere(_all(parts))[1])
+        yield _asks(block.block, *np.unique(names, return_counts=True), bits)
+
+    high = answered(with_answers(table, low, ask_triples, ASK_SCHEMA), _add, _counts, "scoring-triples")
+    both = low.select("block", (F.col("bucket") * 2).alias("bucket"), "answer").unionByName(high.select("block", (F.col("bucket") * 2 + 1).alias("bucket"), "answer"))
+
+    def score(block: Block, tagged: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         g = Grams(block)
-        total = np.concatenate([_read(x) for x in parts]) if parts else np.zeros(0, np.int64)
-        one, _ = _less_own(g, 1, total)
-        two, at2 = _less_own(g, 2, total)
-        three, at3 = _less_own(g, 3, total)
+        one, pair = g.elsewhere(_all([x for b, x in tagged if b % 2 == 0]))
+        names, at = g.triples(pair)
+        triple = np.zeros(g.n, dtype=np.int64)
+        if len(names):
+            _, place = np.unique(names, return_inverse=True)
+            triple[at + 2] = _all([x for b, x in tagged if b % 2])[place] - _own(names, g.doc[at])
         rest = words - g.counts
-        # By place of the scored word: its count, that of the pair and the triple ending there.
-        pair, triple, ahead = (np.zeros(g.n, dtype=np.int64) for _ in range(3))
-        pair[at2 + 1] = two
-        triple[at3 + 2] = three
-        ahead[at3 + 2] = pair[at3 + 1]
         spot = np.arange(g.n) - np.repeat(np.cumsum(g.counts) - g.counts, g.counts)
-        before = np.zeros(g.n, dtype=np.int64)
-        before[1:] = one[:-1]
+        ahead, before = np.zeros(g.n, dtype=np.int64), np.zeros(g.n, dtype=np.int64)
+        ahead[1:], before[1:] = pair[:-1], one[:-1]
         by3, by2 = triple > 0, (triple <= 0) & (pair > 0)
         steps = np.where(by3, 0, np.where(by2, spot >= 2, np.minimum(spot, 2)))
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -136,7 +163,7 @@ def scored(docs: DataFrame) -> DataFrame:
             names=["doc_id", "n_words", "by_triple", "by_pair", "by_word", "mean_log_score"],
         )
 
-    return with_answers(table, totals, score, "doc_id long, n_words long, by_triple long, by_pair long, by_word long, mean_log_score double")
+    return with_answers(table, both, score, "doc_id long, n_words long, by_triple long, by_pair long, by_word long, mean_log_score double", tagged=True)
 
 
 def op9_scoring(spark, sf_dir: str) -> DataFrame:
