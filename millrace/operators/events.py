@@ -42,9 +42,10 @@ def candidates(signals: DataFrame, episodes: DataFrame, quantile: float, schema:
     samples = signals.select("run_name", "time_s", number(F.col(schema.voltage)).alias("voltage"))
     bounds = episodes.select(F.col("run_name").alias("of_run"), "episode_ix", F.col("start_time").alias("episode_start_time"), F.col("end_time").alias("episode_end_time"), "extended_end_time")
     inside = samples.join(bounds, (F.col("run_name") == F.col("of_run")) & F.col("time_s").between(F.col("episode_start_time"), F.col("extended_end_time"))).drop("of_run")
-    levels = inside.groupBy(F.col("run_name").alias("of_run"), F.col("episode_ix").alias("of_episode")).agg(F.percentile("voltage", F.lit(quantile)).alias("threshold"))
-    over = inside.join(levels, (F.col("run_name") == F.col("of_run")) & (F.col("episode_ix") == F.col("of_episode")))
-    return over.drop("of_run", "of_episode").where(F.col("voltage") > F.col("threshold"))
+    # A window, not an aggregate joined back: the samples are joined and dealt out once, and the
+    # grouping by gaps that follows finds them partitioned as it needs.
+    level = F.percentile("voltage", F.lit(quantile)).over(Window.partitionBy("run_name", "episode_ix"))
+    return inside.withColumn("threshold", level).where(F.col("voltage") > F.col("threshold"))
 
 
 def detect_events(
