@@ -90,33 +90,51 @@ def false_detections(matched: DataFrame) -> DataFrame:
     return matched.where(~F.col("is_event") & ~F.col("matched")).select("threshold", "run_name", F.col("time_s").alias("detection_time"))
 
 
-def summarize(matched: DataFrame, durations: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
-    """One row of metrics per threshold; runs without windows or alarms count with their time and events.
+def _counts() -> list[Column]:
+    """What adds up over runs: events, events met, false alarms, and the seconds of advance."""
+    event, hit = F.col("is_event"), F.col("is_event") & F.col("matched")
+    return [F.count_if(event).alias("events"), F.count_if(hit).alias("hits"), F.count_if(~event & ~F.col("matched")).alias("false"), F.sum(F.when(hit, F.col("time_s") - F.col("matched_time"))).alias("advance")]
 
-    durations has run_name and evaluated_duration_s. A total of no seconds raises.
-    """
-    seconds = durations.agg(F.coalesce(F.sum("evaluated_duration_s"), F.lit(0.0)).alias("seconds"))
-    counts = matched.groupBy("threshold").agg(
-        F.count_if(F.col("is_event")).alias("events"),
-        F.count_if(F.col("is_event") & F.col("matched")).alias("hits"),
-        F.count_if(~F.col("is_event") & ~F.col("matched")).alias("false"),
-        F.avg(F.when(F.col("is_event"), F.col("time_s") - F.col("matched_time"))).alias("advance"),
-    )
-    asked = with_thresholds(seconds, thresholds)  # one row a threshold
+
+def _metrics(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rates from summed counts and seconds; a total of no seconds raises."""
     refuse = F.raise_error(F.lit("evaluated_duration_s must be positive")).cast("double")
-    rows = asked.withColumn("seconds", F.when(F.col("seconds") > 0, F.col("seconds")).otherwise(refuse)).join(counts, "threshold", "left").na.fill(0, ["events", "hits", "false"])
+    rows = rows.withColumn("seconds", F.when(F.col("seconds") > 0, F.col("seconds")).otherwise(refuse)).na.fill(0, ["events", "hits", "false"])
     return rows.select(
-        "threshold",
+        *keys,
         F.col("events").alias("n_reference_events"),
         F.col("hits").alias("n_detected_events"),
         F.col("false").alias("n_false_detections"),
         F.when(F.col("events") > 0, F.col("hits") / F.when(F.col("events") > 0, F.col("events"))).otherwise(F.lit(0.0)).alias("true_positive_rate"),
         (F.col("false") / (F.col("seconds") / 3600.0)).alias("false_detections_per_hour"),
         F.try_divide(F.col("seconds"), F.col("false")).alias("mean_seconds_between_false_detections"),
-        F.col("advance").alias("average_advance_time_s"),
+        F.try_divide(F.col("advance"), F.col("hits")).alias("average_advance_time_s"),
     )
 
 
+def summarize(matched: DataFrame, durations: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
+    """One row of metrics per threshold; runs without windows or alarms count with their time and events.
+
+    durations has run_name and evaluated_duration_s. A total of no seconds raises.
+    """
+    seconds = durations.agg(F.coalesce(F.sum("evaluated_duration_s"), F.lit(0.0)).alias("seconds"))
+    asked = with_thresholds(seconds, thresholds)  # one row a threshold
+    return _metrics(asked.join(matched.groupBy("threshold").agg(*_counts()), "threshold", "left"), "threshold")
+
+
+def summarize_folds(matched: DataFrame, durations: DataFrame, folds: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
+    """Metrics per threshold and fold, and per threshold over all folds (null fold), in one rollup.
+
+    folds has run_name and fold. Alarms and matches never leave their run and a run is in
+    one fold, so counts and seconds per run add up to either level.
+    """
+    runs = with_thresholds(durations.join(folds.select("run_name", "fold"), "run_name"), thresholds)
+    per_run = matched.groupBy("threshold", "run_name").agg(*_counts())
+    levels = runs.join(per_run, ["threshold", "run_name"], "left").rollup("threshold", "fold")
+    summed = levels.agg(F.sum("evaluated_duration_s").alias("seconds"), *[F.sum(c).alias(c) for c in ("events", "hits", "false", "advance")])
+    return _metrics(summed.where("threshold is not null"), "threshold", "fold")
+
+
 def evaluate(predictions: DataFrame, events: DataFrame, durations: DataFrame, thresholds: tuple[float, ...] = (0.5,), config: EvaluationConfig = EvaluationConfig(), score: str = "score") -> DataFrame:  # noqa: B008
     """Consensus, suppression, matching and metrics for all thresholds in one plan."""
     alarms = suppress(detections(predictions, thresholds, config.consensus_k, config.consensus_n, score), config.refractory_s)

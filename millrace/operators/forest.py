@@ -11,7 +11,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.alarms import SWEEP, EvaluationConfig, evaluate
 from millrace.operators.features import numeric_columns
 from millrace.operators.labels import IGNORED, without_ignored
 
@@ -109,9 +108,9 @@ def group_folds(table: DataFrame, n_splits: int = 5, group: str = "run_name") ->
     return table.sparkSession.createDataFrame(rows, f"{group} string, n_rows long, fold int")
 
 
-def cross_validate(table: DataFrame, config: ForestConfig = ForestConfig()) -> DataFrame:  # noqa: B008
+def cross_validate(table: DataFrame, config: ForestConfig = ForestConfig(), folds: DataFrame | None = None) -> DataFrame:  # noqa: B008
     """run_name, detection_time, label, score, fold of every row that is not ignored, scored by a forest of the other folds."""
-    folds = group_folds(table, config.n_splits).select("run_name", "fold").persist()
+    folds = (folds if folds is not None else group_folds(table, config.n_splits)).select("run_name", "fold").persist()
     rows = table.join(F.broadcast(folds), "run_name").persist()  # one row a run
     features = numeric_columns(table)
     out = None
@@ -122,11 +121,6 @@ def cross_validate(table: DataFrame, config: ForestConfig = ForestConfig()) -> D
     return out
 
 
-def fold_reports(predictions: DataFrame, events: DataFrame, durations: DataFrame, thresholds: tuple[float, ...] = SWEEP, config: EvaluationConfig = EvaluationConfig()) -> DataFrame:  # noqa: B008
-    """Metrics of all folds together, per threshold; alarms and matches never leave their run."""
-    return evaluate(predictions, events, durations, thresholds, config)
-
-
 def nodes(model: PipelineModel, path: str) -> DataFrame:
     """tree_id, node_id, left_child, right_child, feature, threshold, value of a forest, read from its saved form at path."""
     forest: RandomForestClassificationModel = model.stages[-1]

@@ -61,6 +61,33 @@ def sliding_windows(signals: DataFrame, episodes: DataFrame, window_s: float, ho
     )
 
 
+def timed_windows(signals: DataFrame, episodes: DataFrame, window_s: float, hop_s: float, region: str = "header-on") -> DataFrame:
+    """sliding_windows by time alone, for runs whose sample rate is unknown.
+
+    Windows start every hop_s from the region's start and hold the samples of [start,
+    start + window_s); an episode's windows end with the first that holds none.
+    """
+    if window_s <= 0 or hop_s <= 0:
+        raise ValueError("window_s and hop_s must be positive.")
+    end = region_end(region)
+    last = F.floor((end - F.col("start_time") - window_s + END_SLACK) / hop_s)
+    starts = (
+        episodes.where(last >= 0)
+        .select(F.col("run_name").alias("of_run"), "episode_ix", "start_time", end.alias("region_end"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("k"))
+        .withColumn("window_start", F.col("start_time") + F.col("k") * F.lit(float(hop_s)))
+        .withColumn("window_end", F.col("window_start") + window_s)
+        .where(F.col("window_end") <= F.col("region_end") + END_SLACK)
+    )
+    inside = (F.col("run_name") == F.col("of_run")) & (F.col("time_s") >= F.col("window_start")) & (F.col("time_s") < F.col("window_end"))
+    held = starts.join(signals.select("run_name", "pos", "time_s"), inside, "left").groupBy("of_run", "episode_ix", "k", "window_start", "window_end").agg(F.min("pos").alias("start_index"), (F.max("pos") + 1).alias("end_index"))
+    unbroken = Window.partitionBy("of_run", "episode_ix").orderBy("k")
+    return (
+        held.withColumn("empty", F.max(F.col("start_index").isNull().cast("int")).over(unbroken))
+        .where("empty = 0")
+        .select(F.col("of_run").alias("run_name"), "episode_ix", F.col("k").cast("int").alias("window_ix"), "window_start", "window_end", F.col("window_end").alias("detection_time"), "start_index", "end_index")
+    )
+
+
 #: Samples of a position chunk: what the join of samples and windows is keyed by besides the run.
 CHUNK = 4096
 

@@ -37,13 +37,18 @@ def labeled_features(signals: DataFrame, found: DataFrame, config: PipelineConfi
 
 
 def evaluation(signals: DataFrame, found: DataFrame, config: PipelineConfig) -> DataFrame:
-    """Metrics per threshold of forests that never saw a run they score."""
+    """Metrics per threshold and fold, and overall (null fold), of forests that never saw a run they score."""
     labeled, seconds = labeled_features(signals, found, config)
     labeled = labeled.persist()  # every fold reads it
     if labeled.isEmpty():
         raise RuntimeError("No windows: check the episodes and the window length.")
-    scored = forest.cross_validate(labeled, config.forest)
-    return alarms.evaluate(scored, found, seconds, config.thresholds, config.evaluation)
+    folds = forest.group_folds(labeled, config.forest.n_splits)
+    scored = forest.cross_validate(labeled, config.forest, folds)
+    e = config.evaluation
+    kept = alarms.suppress(alarms.detections(scored, config.thresholds, e.consensus_k, e.consensus_n), e.refractory_s)
+    # Runs without windows have no fold; they still count towards the overall rows.
+    every = seconds.select("run_name").join(folds, "run_name", "left").select("run_name", F.coalesce("fold", F.lit(-1)).alias("fold"))
+    return alarms.summarize_folds(alarms.match(found, kept, config.thresholds, e.max_early_s), seconds, every, config.thresholds)
 
 
 def measured_evaluation(spark: SparkSession, directory: str, raster: float = 0.001, config: PipelineConfig = PipelineConfig()) -> DataFrame:  # noqa: B008

@@ -119,3 +119,19 @@ def test_evaluation_and_sweep(spark):
     for bad in ("", "2", "x"):
         with pytest.raises(ValueError):
             alarms.parse_thresholds(bad)
+
+
+def test_fold_and_overall_metrics_come_from_one_rollup(spark):
+    e = spark.createDataFrame([("a", 10.0), ("b", 20.0), ("b", 40.0)], "run_name string, peak_time double")
+    seconds = spark.createDataFrame([("a", 100.0), ("b", 200.0), ("c", 300.0)], "run_name string, evaluated_duration_s double")
+    folds = spark.createDataFrame([("a", 0), ("b", 1), ("c", 1)], "run_name string, fold int")
+    p = scores(spark, [("a", 9.5, 0.9), ("b", 19.0, 0.9), ("b", 30.0, 0.6)])
+    found = alarms.suppress(alarms.detections(p, (0.5, 0.8)), 1.0)
+    matched = alarms.match(e, found, (0.5, 0.8), 2.0)
+    rows = {(r["threshold"], r["fold"]): r for r in alarms.summarize_folds(matched, seconds, folds, (0.5, 0.8)).collect()}
+    assert len(rows) == 6
+    overall = {r["threshold"]: r for r in alarms.summarize(matched, seconds, (0.5, 0.8)).collect()}
+    for t in (0.5, 0.8):
+        assert [rows[t, None][c] for c in overall[t].asDict()] == [pytest.approx(v) for v in overall[t]]
+    assert (rows[0.5, 1]["n_reference_events"], rows[0.5, 1]["n_detected_events"], rows[0.5, 1]["n_false_detections"]) == (2, 1, 1)
+    assert rows[0.8, 0]["true_positive_rate"] == 1.0 and rows[0.8, 1]["mean_seconds_between_false_detections"] is None

@@ -72,3 +72,10 @@ def test_feature_table_columns(spark):
     names = features.numeric_columns(table)
     assert len(names) == 36 and names[0] == "sample_rate_hz" and names[17] == "CutLength_std" and names[18] == "sample_rate_hz_delta_1"
     assert table.count() == 8
+
+
+def test_timed_windows_stop_at_the_first_empty_one(spark):
+    signals = run_of(spark, audio=[0] * 6, times=[0.0, 0.0, 0.5, 1.0, 3.5, 4.0])
+    rows = [(r["window_start"], r["window_end"], r["start_index"], r["end_index"]) for r in windows.timed_windows(signals, span(spark, 0.0, 4.0), 1.0, 0.5).orderBy("window_ix").collect()]
+    assert rows == [(0.0, 1.0, 0, 3), (0.5, 1.5, 2, 4), (1.0, 2.0, 3, 4)]
+    assert windows.timed_windows(signals, span(spark, 0.0, 0.5), 1.0, 0.5).count() == 0
