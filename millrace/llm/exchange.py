@@ -34,13 +34,13 @@ BLOCK_SCHEMA = "block long, ids binary, offsets binary, data binary, words long"
 
 
 class Block:
-    """One row of blocks(): document ids and their texts as one byte array."""
+    """One row of blocks(): document ids and their texts as one byte array, compressed while it travels."""
 
     def __init__(self, row: dict):
         self.block = row["block"]
         self.ids = np.frombuffer(row["ids"], dtype=np.int64)
         self.offsets = np.frombuffer(row["offsets"], dtype=np.int64)
-        self.data = np.frombuffer(row["data"], dtype=np.uint8)
+        self.data = np.frombuffer(pa.decompress(row["data"], int(self.offsets[-1]), codec="zstd", asbytes=True) if self.offsets[-1] else b"", dtype=np.uint8)
 
 
 #: Stands for a null doc_id in Block.ids; it is larger than any other.
@@ -55,7 +55,7 @@ def blocks(docs: DataFrame, label: str, count_words: Callable[[np.ndarray, np.nd
         for batch in steps(batches, "text", BLOCK_BYTES):
             data, offsets = utf8(batch.column(1))
             ids = batch.column(0).fill_null(int(NO_ID)).to_numpy().astype(np.int64)
-            row = [task << 32 | n, ids.tobytes(), offsets.astype(np.int64).tobytes(), data.tobytes(), count_words(data, offsets)]
+            row = [task << 32 | n, ids.tobytes(), offsets.astype(np.int64).tobytes(), pa.compress(data.tobytes(), codec="zstd", asbytes=True), count_words(data, offsets)]
             n += 1
             kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([x], type=t) for x, t in zip(row, kinds, strict=True)], names=["block", "ids", "offsets", "data", "words"])
