@@ -8,7 +8,8 @@ with one <|text|> for each turn that the block merges, so that merging loses not
 Inside roles and texts every "<" that is followed by any number of backslashes and a
 "|" gets one backslash more; "<|" then occurs in control strings alone, and taking one
 backslash off restores the text. The loss mask is the list of spans (code points, end
-exclusive) of the texts of trained roles within the string.
+exclusive, with the number of the turn from 1) of the texts of trained roles within the
+string.
 
 Turns meet by one shuffle on conv_id: window functions over it find the blocks and the
 offsets, then the turn structs are collected, sorted and concatenated.
@@ -37,7 +38,7 @@ def unescaped(text: Column) -> Column:
 
 
 def format_chats(turns: DataFrame, trained: str = TRAINED) -> DataFrame:
-    """conv_id, formatted (the string) and loss (array of spans) of every conversation."""
+    """conv_id, formatted (the string) and loss (array of start, end, turn) of every conversation."""
     role, text = F.coalesce(F.col("role").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
@@ -55,7 +56,7 @@ def format_chats(turns: DataFrame, trained: str = TRAINED) -> DataFrame:
         "conv_id", F.struct("n", F.concat("head", "body", "tail").alias("piece"), F.col("begin").alias("start"), (F.col("begin") + F.length("body")).alias("end"), (F.col("role") == trained).alias("train")).alias("p")
     )
     sorted_ = pieces.groupBy("conv_id").agg(F.sort_array(F.collect_list("p")).alias("p"))
-    spans = F.transform(F.filter("p", lambda x: x["train"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    spans = F.transform(F.filter("p", lambda x: x["train"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["n"].alias("turn")))
     return sorted_.select("conv_id", F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("formatted"), spans.alias("loss"))
 
 
@@ -70,9 +71,15 @@ def turns_of(formatted: Column) -> Column:
     return F.flatten(F.transform(blocks, of_block))
 
 
-def masked_text(formatted: Column, loss: Column) -> Column:
-    """All text under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(loss, lambda s: unescaped(F.substr(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
+def read_back(chats: DataFrame) -> DataFrame:
+    """chats with turns and under: all text under the loss mask, unescaped, nothing between.
+
+    A span names its turn, so its text is looked up among the turns that the string was
+    split into, in one step; cutting each span out of the string would start from its
+    first byte every time. A span whose length is not that of its turn's text raises.
+    """
+    texts = F.transform("loss", lambda s: F.when(F.length(escaped(F.element_at("turns", s["turn"])["text"])) == s["end"] - s["start"], F.element_at("turns", s["turn"])["text"]).otherwise(F.raise_error(F.lit("a span is not its turn's text"))))
+    return chats.withColumn("turns", turns_of(F.col("formatted"))).withColumn("under", F.array_join(texts, ""))
 
 
 def op7_chat(spark, sf_dir: str) -> DataFrame:
@@ -80,7 +87,7 @@ def op7_chat(spark, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     # Two literal rows, not a local relation: nothing of them passes through Python.
     fixed = spark.sql("SELECT -7L AS conv_id, turn, role FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)").withColumn("text", F.lit(said))
-    chats = format_chats(rows.unionByName(fixed)).withColumn("turns", turns_of(F.col("formatted"))).withColumn("under", masked_text(F.col("formatted"), F.col("loss")))
+    chats = read_back(format_chats(rows.unionByName(fixed)))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return chats.select(
         "conv_id",

@@ -14,7 +14,10 @@ def test_turns_come_back_and_the_mask_holds_assistant_texts(spark):
     rows = [(1, i, ["user", "assistant", "assistant"][i % 3], t, "clash", 1) for i, t in enumerate(nasty)]
     rows += [(2, 0, "assistant", "same", "", 1), (2, 0, "assistant", "same", "", 1), (2, None, "system", "first", "", 1), (None, 0, None, "no id", None, None), (3, 5, "<|role|>", "t", None, 0)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    found = chat.format_chats(df).withColumn("turns", chat.turns_of(F.col("formatted"))).withColumn("under", chat.masked_text(F.col("formatted"), F.col("loss"))).collect()
+    found = chat.read_back(chat.format_chats(df)).collect()
+    for r in found:
+        cut = [r["formatted"][s["start"] : s["end"]] for s in r["loss"]]
+        assert cut == [e for (e,) in spark.createDataFrame([(i, r["turns"][s["turn"] - 1]["text"]) for i, s in enumerate(r["loss"])], "i int, t string").orderBy("i").select(chat.escaped(F.col("t"))).collect()]
     by = {r["conv_id"]: r for r in found}
     assert [(t["role"], t["text"]) for t in by[1]["turns"]] == [(r[2], r[3] or "") for r in rows if r[0] == 1]
     assert by[1]["under"] == "".join(r[3] or "" for r in rows if r[0] == 1 and r[2] == "assistant")
@@ -45,3 +48,9 @@ def test_escapes_on_many_texts(spark):
     gather()
     df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("e", chat.escaped(F.col("t"))).withColumn("u", chat.unescaped(F.col("e")))
     assert df.where("t <> u or contains(e, '<|')").count() == 0
+
+
+def test_a_conversation_of_very_many_turns_is_read_back_in_linear_time(spark):
+    df = spark.range(40_000).selectExpr("1L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "repeat('word ', 60) as text")
+    row = chat.read_back(chat.format_chats(df)).selectExpr("size(turns) n", "length(under) m").first()
+    assert (row["n"], row["m"]) == (40_000, 20_000 * 300)
