@@ -11,10 +11,37 @@ from pyspark.sql import functions as F
 RAM_LIMIT = 2 * 1024 * 1024
 
 
-def write_runs(signals: DataFrame, path: str, as_csv: bool = False) -> None:
-    """Parquet partitioned by run; CSV has one file per run directory."""
-    dealt = signals.repartition("run_name").sortWithinPartitions("run_name", "pos").write.partitionBy("run_name")
-    dealt.option("header", True).csv(path) if as_csv else dealt.parquet(path)
+def write_runs(signals: DataFrame, path: str) -> None:
+    """Parquet partitioned by run."""
+    signals.repartition("run_name").sortWithinPartitions("run_name", "pos").write.partitionBy("run_name").parquet(path)
+
+
+def write_run_files(signals: DataFrame, directory: str) -> None:
+    """One CSV file per run, named after it: written by the executors, then renamed."""
+    spark = signals.sparkSession
+    jvm = spark.sparkContext._jvm
+    dealt = signals.repartition("run_name").sortWithinPartitions("run_name", "pos").drop("pos")
+    dealt.write.partitionBy("run_name").option("header", True).csv(f"{directory}/_parts")
+    parts = jvm.org.apache.hadoop.fs.Path(f"{directory}/_parts")
+    fs = parts.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.listStatus(parts):
+        name = status.getPath().getName()
+        if name.startswith("run_name="):
+            (part,) = [f.getPath() for f in fs.listStatus(status.getPath()) if f.getPath().getName().endswith(".csv")]
+            fs.rename(part, jvm.org.apache.hadoop.fs.Path(f"{directory}/{name.removeprefix('run_name=')}.csv"))
+    fs.delete(parts, True)
+
+
+def write_metadata_file(metadata: DataFrame, directory: str) -> None:
+    """metadata.csv in the directory, with a header also where there is no event."""
+    spark = metadata.sparkSession
+    jvm = spark.sparkContext._jvm
+    write_metadata(metadata, f"{directory}/_metadata")
+    made = jvm.org.apache.hadoop.fs.Path(f"{directory}/_metadata")
+    fs = made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    (part,) = [f.getPath() for f in fs.listStatus(made) if f.getPath().getName().endswith(".csv")]
+    fs.rename(part, jvm.org.apache.hadoop.fs.Path(f"{directory}/metadata.csv"))
+    fs.delete(made, True)
 
 
 def write_metadata(metadata: DataFrame, path: str) -> None:

@@ -32,13 +32,14 @@ def test_dataset_round_trip_through_files(spark, tmp_path):
     assert frames == {"synthetic_run_000": 401, "synthetic_run_001": 401}
     runs = tmp_path / "runs"
     runs.mkdir()
-    for name in frames:
-        signals.where(F.col("run_name") == name).orderBy("pos").drop("run_name", "pos").toPandas().to_csv(runs / f"{name}.csv", index=False)
+    sinks.write_run_files(signals, f"file://{runs}")
+    assert sorted(p.name for p in runs.glob("[!.]*")) == [f"{n}.csv" for n in sorted(frames)]
     read = files.read_runs(spark, f"file://{runs}")
     assert read.count() == 802 and files.read_runs(spark, f"file://{runs}", 1).select("run_name").distinct().count() == 1
     both = read.alias("a").join(signals.alias("b"), ["run_name", "pos"]).where(F.abs(F.col("a.Sensor1") - F.col("b.Sensor1")) > 1e-9)
     assert both.count() == 0
-    sinks.write_metadata(metadata, f"file://{tmp_path}/metadata.csv")
+    sinks.write_metadata_file(metadata, f"file://{tmp_path}")
+    assert (tmp_path / "metadata.csv").read_text().startswith("run_name,event_time,amplitude,width_s,vehicle_speed,cut_length,run_file")
     again = files.read_metadata(spark, f"file://{tmp_path}", ["synthetic_run_001"])
     assert again.count() == metadata.where("run_name = 'synthetic_run_001'").count()
     sinks.write_runs(signals, f"file://{tmp_path}/parquet")
@@ -68,3 +69,16 @@ def test_export_of_a_compact_forest(spark, tmp_path):
     assert nodes.select("tree_id").distinct().count() == 8
     assert (tmp_path / "out/feature_order.txt").read_text().count("\n") == 36
     assert "PASS" in (tmp_path / "out/README.md").read_text() and (tmp_path / "out/early_warning_forest.h").exists()
+
+
+def test_command_line_generates_evaluates_and_exports(spark, tmp_path, capsys):
+    from millrace import cli
+
+    home = f"file://{tmp_path}/data"
+    cli.main(["generate", home, "--n-runs", "2", "--duration-s", "12", "--sample-rate-hz", "50", "--event-rate-per-minute", "30"], spark)
+    cli.main(["evaluate-directory", home, "--trees", "4", "--depth", "3", "--n-splits", "2", "--threshold-sweep", "0.2,0.6"], spark)
+    cli.main(["export", home, f"file://{tmp_path}/out"], spark)
+    said = capsys.readouterr().out
+    assert "true_positive_rate" in said and (tmp_path / "out/feature_order.txt").exists()
+    with pytest.raises(SystemExit):
+        cli.main(["unknown"], spark)
