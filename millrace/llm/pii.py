@@ -97,7 +97,7 @@ def base_spans(text: str) -> list[Span]:
 _DIGIT = re.compile("[0-9]")
 _ANCHOR = re.compile(r"[0-9@]|(?i:(?<=[\s\[({])dot(?=[\s\])}]))")
 _ATOM = re.compile(r"[0-9]+|[A-Za-z]+|\s+|.", re.DOTALL)
-_SPELT = re.compile(r"[A-Za-z0-9._%+-]+\s*(?:@|\(at\)|\[at\]|\{at\}|\sat\s)\s*[A-Za-z0-9-]+(?:\s*(?:\.|\(dot\)|\[dot\]|\{dot\}|\sdot\s)\s*[A-Za-z0-9-]+)+", re.I)
+_SPELT = re.compile(r"[A-Za-z0-9._%+-]+(?:\s?@\s?|\s*(?:\(at\)|\[at\]|\{at\})\s*|\s+at\s+)[A-Za-z0-9-]+(?:(?:\.|\s*(?:\(dot\)|\[dot\]|\{dot\})\s*|\s+dot\s+)[A-Za-z0-9-]+)+", re.I)
 #: What a word before a span hints at.
 HINTS = {
     "phone": ("phone", "tel", "telephone", "call", "mobile", "cell", "fax", "telefon", "telefono", "teléfono", "téléphone", "handy"),
@@ -106,6 +106,8 @@ HINTS = {
     "email": ("mail", "email", "contact", "write", "correo"),
     "other": ("order", "invoice", "no", "nr", "id", "version", "v", "page", "year", "price", "usd", "eur", "license", "key", "token", "password", "part", "serial", "isbn", "item"),
 }
+#: Words that name no mail host, however an address is spelt out.
+LITTLE = frozenset(("the", "a", "an", "this", "that", "one", "each", "every"))
 _HINT = {w: k for k, words in HINTS.items() for w in words}
 
 
@@ -163,7 +165,7 @@ def _features(kind: str, s: str, before: str, after: str, hint: str) -> list[str
     groups = [len(x) for x in re.split("[^0-9]+", s) if x]
     out = ["bias", f"hint={hint}", f"glued={before.isalnum() or before in '.-_/#$€=' and before != ''}", f"runs on={after.isalnum() or after in '%' and after != ''}"]
     if kind == "email":
-        out += [f"sign={'@' in s}", f"brackets={any(c in s for c in '([{')}", f"top={2 <= len(re.split('[^A-Za-z0-9-]+', s)[-1]) <= 6}"]
+        out += [f"little={not LITTLE.isdisjoint(re.findall('[a-z]+', s.lower())[1:-1])}", f"sign={'@' in s}", f"brackets={any(c in s for c in '([{')}", f"top={2 <= len(re.split('[^A-Za-z0-9-]+', s)[-1]) <= 6}"]
     elif kind == "ip":
         parts = s.split(".")
         out += [f"range={all(x and len(x) <= 3 and int(x) <= 255 for x in parts)}", f"wide={sum(len(x) for x in parts) >= 7}"]
@@ -266,7 +268,7 @@ def sentences(n: int, seed: int = 11) -> Iterator[tuple[str, list[Span]]]:
         return r.choice(
             [
                 f"{r.randint(1900, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", f"{r.randint(1, 28)}.{r.randint(1, 12)}.{r.randint(1900, 2030)}", f"{r.randint(1, 28):02d}/{r.randint(1, 12):02d}/{r.randint(1900, 2030)}", f"version {r.randint(1, 9)}.{r.randint(0, 30)}.{r.randint(0, 9)}", f"v{r.randint(1, 9)}.{r.randint(0, 30)}.{num(2)}.{num(3)}", f"${r.randint(1, 999)},{num(3)}.{num(2)}", f"order {num(r.randint(5, 12))}",
-                f"invoice no {num(8)}", f"id {num(r.randint(7, 16))}", num(r.randint(1, 20)), f"pages {num(2)}-{num(3)}", f"isbn 978-{num(1)}-{num(3)}-{num(5)}-{num(1)}", f"key {word()}{num(5)}{word()}", f"{num(2)}:{num(2)}:{num(2)}", f"{num(1)}.{num(2)}%", f"{word()} at {word()}", f"the dot {word()} {num(3)}", f"part {num(3)}-{num(4)}", f"{num(3)} {num(3)}", f"password={num(4)}{word()}{num(7)}", f"300.{num(3)}.999.{num(2)}",
+                f"invoice no {num(8)}", f"id {num(r.randint(7, 16))}", num(r.randint(1, 20)), f"pages {num(2)}-{num(3)}", f"isbn 978-{num(1)}-{num(3)}-{num(5)}-{num(1)}", f"key {word()}{num(5)}{word()}", f"{num(2)}:{num(2)}:{num(2)}", f"{num(1)}.{num(2)}%", f"{word()} at {word()}", f"the dot {word()} {num(3)}", f"{word()} at {r.choice(sorted(LITTLE))} dot {r.choice(['com', word()])}", f"part {num(3)}-{num(4)}", f"{num(3)} {num(3)}", f"password={num(4)}{word()}{num(7)}", f"300.{num(3)}.999.{num(2)}",
             ]
         )
 
@@ -277,9 +279,11 @@ def sentences(n: int, seed: int = 11) -> Iterator[tuple[str, list[Span]]]:
             text += " ".join(word() for _ in range(r.randint(1, 4))) + " "
             if r.random() < 0.5:
                 kind = r.choice(KINDS)
-                if r.random() < 0.3:
+                hinted = r.random() < 0.3
+                if hinted:
                     text += r.choice(HINTS[kind]) + r.choice([" ", ": "])
-                made = makers[kind]()
+                # A bare row of digits is a telephone number only where a word says so.
+                made = num(r.randint(9, 11)) if hinted and kind == "phone" and r.random() < 0.4 else makers[kind]()
                 spans.append((kind, len(text), len(text) + len(made)))
                 text += made
             else:
