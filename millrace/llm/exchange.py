@@ -7,6 +7,11 @@ an answer for each, and the answers return to the block. Distinct names per bloc
 the pre-aggregation: a passage that a third of all documents share is one name a block.
 The number of buckets follows the corpus, so a bucket's task holds a bounded share.
 
+A block sends a payload to each bucket that it has names in. Once there are more buckets
+than names in a block, payloads hold single names and their headers outweigh them: for a
+corpus of many terabytes raise block_bytes and bucket_names as far as the executors'
+memory allows, since a task works on a whole block or a whole bucket at a time.
+
 Payloads are sorted names as 6-byte differences (or 8-byte words where a difference is
 larger), which is what keeps the shuffle near the size of the input.
 """
@@ -47,12 +52,12 @@ class Block:
 NO_ID = np.iinfo(np.int64).max
 
 
-def blocks(docs: DataFrame, label: str, count_words: Callable[[np.ndarray, np.ndarray], int]) -> DataFrame:
+def blocks(docs: DataFrame, label: str, count_words: Callable[[np.ndarray, np.ndarray], int], block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs (doc_id, text) as stored blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n = TaskContext.get().partitionId(), 0
-        for batch in steps(batches, "text", BLOCK_BYTES):
+        for batch in steps(batches, "text", block_bytes):
             data, offsets = utf8(batch.column(1))
             ids = batch.column(0).fill_null(int(NO_ID)).to_numpy().astype(np.int64)
             row = [task << 32 | n, ids.tobytes(), offsets.astype(np.int64).tobytes(), pa.compress(data.tobytes(), codec="zstd", asbytes=True), count_words(data, offsets)]
@@ -81,9 +86,9 @@ def unpacked(payload: bytes) -> np.ndarray:
     return np.cumsum(wide.reshape(-1).view("<u8"), dtype=np.uint64)
 
 
-def bits_for(names: int) -> int:
+def bits_for(names: int, bucket_names: int = BUCKET_NAMES) -> int:
     """The power of two of buckets for about so many names."""
-    return max(LEAST_BITS, int(max(1, names) / BUCKET_NAMES).bit_length())
+    return max(LEAST_BITS, int(max(1, names) / bucket_names).bit_length())
 
 
 ASK_SCHEMA = "block long, bucket int, names binary, extra binary"

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import scrambled, window_names, word_names, word_spans
-from millrace.llm.exchange import ASK_SCHEMA, NO_ID, Block, answered, asked, bits_for, blocks, runs_of, with_answers
+from millrace.llm.exchange import ASK_SCHEMA, BLOCK_BYTES, BUCKET_NAMES, NO_ID, Block, answered, asked, bits_for, blocks, runs_of, with_answers
 
 WINDOW = 13
 #: Words to either side of a boundary that fix whether it survives, and that make its context.
@@ -126,10 +126,10 @@ def _candidates(w: Windows, parts: list[bytes], bits: int) -> tuple[np.ndarray,
     return chosen, distinct, place, least
 
 
-def removed(docs: DataFrame) -> DataFrame:
+def removed(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_names: int = BUCKET_NAMES) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept (its remaining words joined by one space)."""
-    table = blocks(docs, "recompression-blocks", lambda data, offsets: int(word_spans(data, offsets)[2].sum()))
-    bits = bits_for(int(table.agg(F.sum("words")).first()[0] or 0) // 2)
+    table = blocks(docs, "recompression-blocks", lambda data, offsets: int(word_spans(data, offsets)[2].sum()), block_bytes)
+    bits = bits_for(int(table.agg(F.sum("words")).first()[0] or 0) // 2, bucket_names)
 
     def ask_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

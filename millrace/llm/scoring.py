@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import scrambled, window_names, word_names, word_spans
-from millrace.llm.exchange import ASK_SCHEMA, NO_ID, Block, answered, asked, bits_for, blocks, with_answers
+from millrace.llm.exchange import ASK_SCHEMA, BLOCK_BYTES, BUCKET_NAMES, NO_ID, Block, answered, asked, bits_for, blocks, with_answers
 
 ORDER = 3
 #: The weight of each step back.
@@ -111,11 +111,11 @@ def _all(parts: list[bytes]) -> np.ndarray:
     return np.concatenate([_read(x) for x in parts]) if parts else np.zeros(0, np.int64)
 
 
-def scored(docs: DataFrame) -> DataFrame:
+def scored(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_names: int = BUCKET_NAMES) -> DataFrame:
     """doc_id, n_words, by_triple, by_pair, by_word (words scored at each order) and mean_log_score."""
-    table = blocks(docs, "scoring-blocks", lambda data, offsets: int(word_spans(data, offsets)[2].sum()))
+    table = blocks(docs, "scoring-blocks", lambda data, offsets: int(word_spans(data, offsets)[2].sum()), block_bytes)
     words = int(table.agg(F.sum("words")).first()[0] or 0)
-    bits = bits_for(words)
+    bits = bits_for(words, bucket_names)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -49,6 +49,7 @@ def test_against_brute_force_on_few_words(spark):
     rows += [(200, "z " * 50), (201, "q " * 3 + "z " * 14 + "q"), (202, "z " * 12)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert got(recompression.removed(df)) == plain(rows)
+    assert got(recompression.removed(df, block_bytes=300, bucket_names=20)) == plain(rows)
 
 
 def test_boundaries_depend_on_three_words_a_side():

@@ -31,6 +31,8 @@ def plain(rows: list[tuple]) -> list[tuple]:
 
 def test_awkward_documents(awkward, empty):
     rows = [(r["doc_id"], r["text"]) for r in awkward.collect()]
+    small = {(r["doc_id"], r["n_words"]): r["by_triple"] for r in scoring.scored(awkward, block_bytes=200, bucket_names=50).collect()}
+    assert small == {(r["doc_id"], r["n_words"]): r["by_triple"] for r in scoring.scored(awkward).collect()}
     got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["n_words"], r["by_triple"], r["by_pair"], r["by_word"], r["mean_log_score"]) for r in scoring.scored(awkward).collect()), key=lambda r: r[:3])
     expected = plain(rows)
     assert [r[:6] for r in got] == [r[:6] for r in expected]
