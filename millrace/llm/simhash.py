@@ -23,9 +23,9 @@ the shared folder; nothing of the graph goes to the driver but two counts.
 
 Defined cases. Null or empty text, or white space alone: fingerprint zero, linked like
 any other. Fewer words than a shingle: the whole sequence is the one shingle. Null
-doc_id: it takes part, and a component of nulls alone has a null id. Repeated rows: each
-gets its row. Empty table: no rows. Other columns are ignored by `components_of` and
-carried along by `deduplicate`.
+doc_id: it takes part, and a component of nulls alone has a null id; `deduplicate` goes by
+the component's root, which is never null. Repeated rows: each gets its row. Empty table:
+no rows. Other columns are ignored by `components_of` and carried along by `deduplicate`.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import remove, shared_dir, steps, stored, utf8, word_spans
@@ -83,15 +83,23 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarra
     return out
 
 
-def fingerprinted(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every row."""
+def fingerprinted(docs: DataFrame, width: int = SHINGLE, keep_hashes: bool = False) -> DataFrame:
+    """doc_id and fp (the 64 bits as a signed long) of every row (and its text's hashes h1 and h2, if kept)."""
+    more = text_hashes() if keep_hashes else ()
+    names = ["doc_id", "fp", "h1", "h2"][: 2 + len(more)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "text"):
             found = fingerprints(*utf8(batch.column(1)), width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def text_hashes() -> tuple[Column, Column]:
+    """128 bits that tell texts apart, null from empty too."""
+    text = F.col("text").cast("string")
+    return F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")
 
 
 def table_plan(nodes: int, radius: int = RADIUS) -> list[list[tuple[int, int]]]:
@@ -225,12 +233,17 @@ def components(edges: DataFrame, label: str = "links") -> DataFrame:
         seen, now = mark, after
 
 
+def rooted(rows: DataFrame, low: Column, radius: int = RADIUS) -> DataFrame:
+    """fp, low (that aggregate of its rows) and root (never null) of every distinct fingerprint of rows."""
+    nodes = stored(rows.groupBy("fp").agg(low.alias("low")), "simhash-nodes")
+    roots = stored(components(links(nodes.select("fp"), radius), "simhash-links"), "simhash-roots")
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+
+
 def components_of(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp and component_id of every row of docs."""
     rows = stored(fingerprinted(docs, width), "simhash-fp")
-    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
-    roots = stored(components(links(nodes.select("fp"), radius), "simhash-links"), "simhash-roots")
-    grouped = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    grouped = rooted(rows, F.min("doc_id"), radius)
     lows = grouped.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = grouped.join(lows, "root").select("fp", "component_id")
     return rows.join(classes, "fp")
@@ -239,12 +252,18 @@ def components_of(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -
 def deduplicate(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """docs without near-duplicates: of each component the row of the least doc_id stays.
 
-    Of several rows with that doc_id one stays, the least by the text's hash.
+    A component of null ids alone keeps a row too, and documents that share an id but no
+    component all stay. Of a component's rows with its least id the first by the text's
+    hashes stays; of rows that are equal in id and text, any one.
     """
-    classes = components_of(docs, width, radius).select(F.col("component_id").alias("_sim_id")).distinct()
-    kept = docs.join(classes, F.col("doc_id").cast("long").eqNullSafe(F.col("_sim_id")), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return kept.withColumn("_sim_n", F.row_number().over(order)).where("_sim_n = 1").drop("_sim_n")
+    # Ids without nulls, so that the keys of grouping, joining and ordering are the same; nulls come last.
+    no, known = F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))
+    rows = stored(fingerprinted(docs, width, keep_hashes=True), "simhash-fp").select("fp", F.struct(no.alias("_sim_no"), known.alias("_sim_id"), F.col("h1").alias("_sim_h1"), F.col("h2").alias("_sim_h2")).alias("key"))
+    first = rooted(rows, F.min("key"), radius).groupBy("root").agg(F.min("low").alias("low")).select("low.*")
+    h1, h2 = text_hashes()
+    # Copies of one row are one before they meet anything: grouped where they lie, then by key.
+    once = docs.select("*", no.alias("_sim_no"), known.alias("_sim_id"), h1.alias("_sim_h1"), h2.alias("_sim_h2")).dropDuplicates(first.columns)
+    return once.join(first, first.columns, "left_semi").select(*docs.columns)
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

@@ -46,6 +46,23 @@ def test_deduplicate_keeps_columns_and_one_of_each_group(awkward, empty):
     assert simhash.deduplicate(empty).count() == 0 and simhash.components_of(empty).count() == 0
 
 
+def test_deduplicate_keeps_one_row_of_each_component_whatever_its_ids(spark, awkward):
+    a, b, c, d = (" ".join(f"{x}{i * i % 97}" for i in range(80)) for x in "abcd")
+    # Nulls alone, a repeated id with different texts, a null beside an id, and many copies of one null row.
+    rows = [(None, a), (None, b), (None, b), (3, c), (3, d), (4, c), (None, d), (None, None), (None, " ")] + [(None, a)] * 50
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    blank = [r for r in kept if not (r["text"] or "").strip()]
+    assert len(blank) == 1 and blank[0]["doc_id"] is None
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept if r not in blank) == sorted([(0, a), (0, b), (3, c), (3, d)])
+    docs = awkward.select("doc_id", "text").collect()
+    groups = plain_components([plain_fingerprint(r["text"]) for r in docs])
+    kept = simhash.deduplicate(awkward).collect()
+    found = [plain_fingerprint(r["text"]) for r in kept]
+    by_value = {plain_fingerprint(r["text"]): g for r, g in zip(docs, groups)}
+    assert sorted(by_value[v] for v in found) == sorted(set(groups))
+    assert (None, "no id") in [(r["doc_id"], r["text"]) for r in kept]
+
+
 def test_links_among_dense_and_spread_values(spark):
     r = np.random.default_rng(5)
     centres = r.integers(0, 2**63, 12, dtype=np.int64)
