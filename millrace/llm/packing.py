@@ -91,13 +91,32 @@ def parted(data: np.ndarray, offsets: np.ndarray) -> tuple[bytes, list[int]]:
     """The texts with fewer distinct words and the same ids: the vocabulary knows lower case alone, and
     always cuts between a letter or digit and a comma or full stop that ends its word.
 
-    Special tokens are the one thing that case matters for; texts that may hold one stay as they are.
+    Words keep their case if they hold "<|", as special tokens are the one thing that case matters
+    for, or a byte from 0xCC on: the vocabulary composes before it lowers, some capitals compose with
+    a mark where their small letters do not or the other way round, and no mark is below U+0300.
     """
     raw = data.tobytes()
-    if b"<|" in raw:
-        return raw, offsets.tolist()
     low = np.frombuffer(raw.lower(), dtype=np.uint8)
+    kept = data >= 0xCC
+    special = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124)) if b"<|" in raw else np.zeros(0, np.int64)
+    kept[special] = True
     at = np.flatnonzero(_STOP[low[1:-1]] & _ALNUM[low[:-2]] & _SPACE[low[2:]]) + 1
+    if kept.any():
+        low = low.copy()
+        spaces = np.flatnonzero(_SPACE[data])
+
+        def word(places: np.ndarray) -> np.ndarray:
+            return np.searchsorted(spaces, places) + np.searchsorted(offsets, places, side="right")
+
+        marked = np.zeros(len(spaces) + len(offsets) + 1, dtype=bool)
+        marked[word(np.flatnonzero(kept))] = True
+        capitals = np.flatnonzero(low != data)
+        capitals = capitals[marked[word(capitals)]]
+        low[capitals] = data[capitals]
+        if len(special):
+            marked[:] = False
+            marked[word(special)] = True
+            at = at[~marked[word(at)]]
     # A cut in front of a text's first byte would belong to the text before it.
     at = np.setdiff1d(at, offsets, assume_unique=True)
     return np.insert(low, at, 32).tobytes(), (offsets + np.searchsorted(at, offsets)).tolist()

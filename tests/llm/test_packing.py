@@ -40,6 +40,43 @@ def test_parted_texts_have_the_same_ids():
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def ids_of_parted(texts: list[str], words: packing.Words) -> list[list[int]]:
+    raw = [t.encode() for t in texts]
+    data, offsets = packing.parted(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)]))
+    return [np.frombuffer(b"".join(words.ids(data[a:b].split())), "<u4").tolist() for a, b in zip(offsets, offsets[1:])]
+
+
+def test_capitals_before_marks_have_the_same_ids():
+    """Every ASCII capital with every combining mark, and with a mark of a lower class between."""
+    tokenizer, words = Tokenizer.from_file(PATH), packing.Words(PATH)
+    texts = ["al-H\u0331arf, T\u0308. J\u030c W\u030a Y\u030a T\u0344", "T\u0591\u0308 H\u05b0\u0331a", "\u00dcber Die Stra\u00dfe, \u201cHello\u201d ABC. \u212aELVIN"]
+    texts += [" ".join(f"x{chr(c)}{chr(m)}Y." for m in range(0x300, 0x370)) for c in range(65, 91)]
+    assert ids_of_parted(texts, words) == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_case_is_decided_word_by_word():
+    """A neighbour with a special token or a mark changes nothing about a text's words."""
+    words = packing.Words(PATH)
+    texts = ["One, TWO", "<|endoftext|> Three, a<|b, <|EndOfText|>,", "One, TWO", "H\u0331arf", "One, TWO"]
+    raw = [t.encode() for t in texts]
+    data, offsets = packing.parted(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)]))
+    found = [data[a:b] for a, b in zip(offsets, offsets[1:])]
+    assert found[0] == found[2] == found[4] == b"one , two"
+    assert found[1] == b"<|endoftext|> three , a<|b, <|EndOfText|>," and found[3] == raw[3]
+    tokenizer = Tokenizer.from_file(PATH)
+    assert ids_of_parted(texts, words) == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="THJWYaks .,<|é\u0308\u0331\u030a\u0344\u0591漢İſ'1\n", max_size=30), max_size=4))
+def test_parted_mixtures_have_the_same_ids(texts):
+    tokenizer = _TOKENIZER
+    assert ids_of_parted(texts, _WORDS) == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+_TOKENIZER, _WORDS = Tokenizer.from_file(PATH), packing.Words(PATH)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), max_size=12))
 def test_plans_use_every_piece_once_within_capacity(histogram):
