@@ -83,7 +83,7 @@ def base_spans(text: str) -> list[Span]:
         at = text.find("@", max(at + 1, ended))
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
+            if all(len(x) <= 3 and int(x or "0") <= 255 for x in (y.lstrip("0") for y in m[0].split("."))):
                 out.append(("ip", m.start(), m.end()))
         for m in _CARD.finditer(text):
             d = _digits(m[0])

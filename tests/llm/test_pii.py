@@ -66,3 +66,10 @@ def test_awkward_documents(awkward, empty, spark, tmp_path):
 def test_long_zones_stay_linear():
     text = "12 " * 20_000 + "9" * 50_000
     assert isinstance(pii.all_spans(text, pii.weights()), tuple)
+
+
+def test_parts_of_addresses_with_very_many_zeros():
+    """int() takes 4,300 digits at most; zeros in front of a part count for nothing."""
+    for part, good in (("0" * 5_000, True), ("0" * 5_000 + "255", True), ("0" * 5_000 + "256", False), ("1" + "0" * 5_000, False)):
+        text = f"at 10.0.{part}.1 now"
+        assert [s for s in pii.base_spans(text) if s[0] == "ip"] == [("ip", 3, len(text) - 4)] * good
