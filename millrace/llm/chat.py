@@ -71,15 +71,39 @@ def turns_of(formatted: Column) -> Column:
     return F.flatten(F.transform(blocks, of_block))
 
 
+def spans_fit(formatted: Column, loss: Column) -> Column:
+    """Whether every span is where its turn's text lies in the string, in one pass over the string's pieces.
+
+    "<|" occurs in control strings alone: text i is what follows the i-th <|text|>, up to
+    <|end|> or the next <|text|>. The sum of the pieces before it is where it starts.
+    """
+    zero = F.lit(0).cast("long")
+
+    def step(acc: Column, piece: Column) -> Column:
+        span = F.get(loss, acc["k"].cast("int"))
+        hit = (acc["i"] > 0) & span["turn"].cast("long").eqNullSafe(acc["i"])
+        fits = span["start"].eqNullSafe(acc["at"]) & span["end"].eqNullSafe(acc["at"] + F.length(F.substring_index(piece, END, 1)))
+        return F.struct(
+            (acc["at"] + F.length(piece) + len(TEXT)).cast("long").alias("at"),
+            (acc["i"] + 1).cast("long").alias("i"),
+            (acc["k"] + F.when(hit, 1).otherwise(0)).cast("long").alias("k"),
+            (acc["good"] & (~hit | fits)).alias("good"),
+        )
+
+    start = F.struct(zero.alias("at"), zero.alias("i"), zero.alias("k"), F.lit(True).alias("good"))
+    return F.aggregate(F.split(formatted, r"<\|text\|>"), start, step, lambda acc: acc["good"] & (acc["k"] == F.size(loss)))
+
+
 def read_back(chats: DataFrame) -> DataFrame:
     """chats with turns and under: all text under the loss mask, unescaped, nothing between.
 
     A span names its turn, so its text is looked up among the turns that the string was
     split into, in one step; cutting each span out of the string would start from its
-    first byte every time. A span whose length is not that of its turn's text raises.
+    first byte every time. A span that does not start and end with its turn's text raises.
     """
-    texts = F.transform("loss", lambda s: F.when(F.length(escaped(F.element_at("turns", s["turn"])["text"])) == s["end"] - s["start"], F.element_at("turns", s["turn"])["text"]).otherwise(F.raise_error(F.lit("a span is not its turn's text"))))
-    return chats.withColumn("turns", turns_of(F.col("formatted"))).withColumn("under", F.array_join(texts, ""))
+    texts = F.array_join(F.transform("loss", lambda s: F.element_at("turns", s["turn"])["text"]), "")
+    under = F.when(spans_fit(F.col("formatted"), F.col("loss")), texts).otherwise(F.raise_error(F.lit("a span is not its turn's text")))
+    return chats.withColumn("turns", turns_of(F.col("formatted"))).withColumn("under", under)
 
 
 def op7_chat(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -54,3 +55,14 @@ def test_a_conversation_of_very_many_turns_is_read_back_in_linear_time(spark):
     df = spark.range(40_000).selectExpr("1L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "repeat('word ', 60) as text")
     row = chat.read_back(chat.format_chats(df)).selectExpr("size(turns) n", "length(under) m").first()
     assert (row["n"], row["m"]) == (40_000, 20_000 * 300)
+
+
+@pytest.mark.parametrize("start, end, turn", [(1, 1, 0), (-1, -1, 0), (0, 1, 0), (1, 0, 0), (0, 0, 1)])
+def test_spans_that_are_elsewhere_raise(spark, start, end, turn):
+    rows = [(1, i, ["user", "assistant", "assistant"][i % 3], t) for i, t in enumerate(["hi", "<|end|>\n", "é漢", "", "same", "same"])]
+    chats = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert chat.read_back(chats).first()["under"] == "<|end|>\né漢samesame"
+    for at in range(4):  # one span of the mask at a time
+        moved = F.transform("loss", lambda s, i: F.when(i == at, F.struct((s["start"] + start).alias("start"), (s["end"] + end).alias("end"), (s["turn"] + turn).alias("turn"))).otherwise(s))
+        with pytest.raises(Exception, match="a span is not its turn's text|out of bounds|INVALID_ARRAY_INDEX"):
+            chat.read_back(chats.withColumn("loss", moved)).collect()
