@@ -28,9 +28,11 @@ STEP_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share; one of our own where none is set and all run in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -80,12 +82,31 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def steps(batches: Iterator[pa.RecordBatch], text: str, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches again, cut so that each holds about `most` bytes of the text column."""
+def without(docs: DataFrame, *names: str) -> DataFrame:
+    """docs less the columns of these names, in whatever case; other columns may have any names."""
+    gone = {n.lower() for n in names}
+    keep = [i for i, c in enumerate(docs.columns) if c.lower() not in gone]
+    if len(keep) == len(docs.columns):
+        return docs
+    return numbered(docs).select(*[f"c{i}" for i in keep]).toDF(*[docs.columns[i] for i in keep])
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with its columns named c0, c1 and so on, so that no name clashes or needs quoting; toDF() gives names back."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
+def place_of(docs: DataFrame, name: str) -> int | None:
+    """The place of the first column of that name, None where there is none."""
+    return next((i for i, c in enumerate(docs.columns) if c == name), None)
+
+
+def steps(batches: Iterator[pa.RecordBatch], text: str | int, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches again, cut so that each holds about `most` bytes of the text column, named or numbered."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, offsets = utf8(batch.column(batch.schema.get_field_index(text)))
+        _, offsets = utf8(batch.column(batch.schema.get_field_index(text) if isinstance(text, str) else text))
         at = 0
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)

@@ -16,9 +16,14 @@ No labelled spans exist in the data, so weights are trained on TRAIN_SENTENCES s
 that a seeded generator writes, with their spans, and with what looks like personal data
 but is not: dates, versions, prices, order numbers, keys.
 
+Bounds of the model, which base spans do not have: an entity has SEGMENT_ATOMS atoms at
+most, a spelt-out address ADDRESS_CHARS characters (the longest that mail allows), and a
+hint stands within CONTEXT_CHARS characters in front of a zone.
+
 Defined cases. Null or empty text: no spans. Null doc_id: kept as null. Repeated rows:
 each on its own. Long texts: read whole. Empty table: no rows. `found` and `redact`
-carry other columns along; working columns start with ``_pii_``.
+carry other columns along, whatever their names; columns of docs that are named like the
+two that `found` adds give way to them.
 """
 
 from __future__ import annotations
@@ -34,15 +39,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from millrace.llm.common import steps
+from millrace.llm.common import numbered, place_of, steps, without
 
 KINDS = ("email", "ip", "card", "phone")
 #: Atoms of an entity at most.
 SEGMENT_ATOMS = 24
 #: Sentences that the weights are trained on, passes over them, and the step.
 TRAIN_SENTENCES, PASSES, STEP, RIDGE = 500, 6, 0.2, 1e-4
-#: Words in front of a span that count as its context.
-CONTEXT_WORDS = 2
+#: Words in front of a span that count as its context, and how far in front of a zone they are looked for.
+CONTEXT_WORDS, CONTEXT_CHARS = 2, 40
+#: Characters of a spelt-out address at most.
+ADDRESS_CHARS = 254
 
 # The base patterns, fixed by the contract of the query.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -145,7 +152,7 @@ def _kinds_of(s: str) -> Iterator[str]:
         return
     letters = any("a" <= c <= "z" or "A" <= c <= "Z" for c in s)
     if letters:
-        if len(s) <= 254 and ("@" in s or "at" in s.lower()) and _SPELT.fullmatch(s):
+        if len(s) <= ADDRESS_CHARS and ("@" in s or "at" in s.lower()) and _SPELT.fullmatch(s):
             yield "email"
         return
     if not s.isascii():
@@ -177,13 +184,33 @@ def _features(kind: str, s: str, before: str, after: str, hint: str) -> list[str
     return [f"{kind}:{f}" for f in out]
 
 
-def lattice(text: str, a: int, b: int, closed: list[tuple[int, int]]) -> tuple[list[int], list[tuple[int, int, str, list[str]]]]:
-    """Atom borders of a zone and its segments (from atom, to atom, kind or "", features)."""
+def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans that may overlap, as disjoint ones."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def shut_atoms(borders: list[int], closed: list[tuple[int, int]], at: int = 0) -> list[bool]:
+    """Whether each atom meets one of the disjoint sorted spans closed[at:], in one pass over both."""
+    out = []
+    for a, b in zip(borders, borders[1:], strict=False):
+        while at < len(closed) and closed[at][1] <= a:
+            at += 1
+        out.append(at < len(closed) and closed[at][0] < b)
+    return out
+
+
+def lattice(text: str, a: int, b: int, closed: list[tuple[int, int]], at: int = 0) -> tuple[list[int], list[tuple[int, int, str, list[str]]]]:
+    """Atom borders of a zone and its segments (from atom, to atom, kind or "", features); closed[at:] are disjoint and sorted."""
     borders = [m.start() for m in _ATOM.finditer(text, a, b)] + [b]
-    words = re.findall(r"\w+", text[max(0, a - 40) : a])
     edges: list[tuple[int, int, str, list[str]]] = []
-    shut = [any(x < borders[i + 1] and borders[i] < y for x, y in closed) for i in range(len(borders) - 1)]
-    seen = list(words)
+    shut = shut_atoms(borders, closed, at)
+    seen = re.findall(r"\w+", text[max(0, a - CONTEXT_CHARS) : a])
     for i in range(len(borders) - 1):
         piece = text[borders[i] : borders[i + 1]]
         shape = "digits" if piece[0].isdigit() else "letters" if piece.isalpha() else "space" if piece.isspace() else "sign"
@@ -313,17 +340,12 @@ def all_spans(text: str, w: Weights) -> tuple[list[Span], list[Span]]:
     """Base spans, and those with the model's; each by kind, then start."""
     base = base_spans(text)
     more = list(base)
-    closed = sorted((a, b) for _, a, b in base)
+    closed = united(sorted((a, b) for _, a, b in base))
     at = 0
     for a, b in zones(text):
         while at < len(closed) and closed[at][1] <= a:
             at += 1
-        near = []
-        for x in closed[at:]:
-            if x[0] >= b:
-                break
-            near.append(x)
-        borders, edges = lattice(text, a, b, near)
+        borders, edges = lattice(text, a, b, closed, at)
         if any(e[2] for e in edges):
             more += [(kind, borders[i], borders[j]) for i, j, kind in decode(len(borders) - 1, edges, w)]
     return base, sorted(more, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
@@ -335,17 +357,19 @@ _SPAN = ArrayType(StructType([StructField("kind", StringType()), StructField("st
 def found(docs: DataFrame) -> DataFrame:
     """docs with _pii_base and _pii_all: arrays of (kind, start, end) in code points."""
     w = weights()
-    columns, place = list(docs.columns), docs.columns.index("text")
-    schema = StructType([*docs.schema.fields, StructField("_pii_base", _SPAN), StructField("_pii_all", _SPAN)])
+    docs = without(docs, "_pii_base", "_pii_all")
+    plain, place = numbered(docs), place_of(docs, "text")
+    names = [*plain.columns, "base", "every"]
+    schema = StructType([*plain.schema.fields, StructField("base", _SPAN), StructField("every", _SPAN)])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "text"):
+        for batch in steps(batches, place):
             pairs = [all_spans(t or "", w) for t in batch.column(place).to_pylist()]
             both = [pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in p[i]] for p in pairs], type=kind) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *both], names=[*columns, "_pii_base", "_pii_all"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *both], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*docs.columns, "_pii_base", "_pii_all")
 
 
 def redacted(text: str, spans: list[Span]) -> str:
@@ -361,19 +385,18 @@ def redacted(text: str, spans: list[Span]) -> str:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with personal data replaced; n_chars, where there is such a column, follows the text."""
     w = weights()
-    columns, place = list(docs.columns), docs.columns.index("text")
-    sized = columns.index("n_chars") if "n_chars" in columns else -1
+    plain, place, sized = numbered(docs), place_of(docs, "text"), place_of(docs, "n_chars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "text"):
+        for batch in steps(batches, place):
             texts = [None if t is None else redacted(t, all_spans(t, w)[1]) for t in batch.column(place).to_pylist()]
-            batch = batch.set_column(place, "text", pa.array(texts, type=batch.schema.field(place).type))
-            if sized >= 0:
+            batch = batch.set_column(place, f"c{place}", pa.array(texts, type=batch.schema.field(place).type))
+            if sized is not None:
                 old = batch.column(sized)
-                batch = batch.set_column(sized, "n_chars", pa.array([o if t is None else len(t) for t, o in zip(texts, old.to_pylist(), strict=True)], type=old.type))
+                batch = batch.set_column(sized, f"c{sized}", pa.array([o if t is None else len(t) for t, o in zip(texts, old.to_pylist(), strict=True)], type=old.type))
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:
