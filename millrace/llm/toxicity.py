@@ -17,8 +17,10 @@ segment and of all its passages is turned into a probability by logistic calibra
 
 Labels are learnt from rows whose crc32(doc_id as text) mod 4 is not 2, at most
 TRAIN_ROWS of them, the first by a hash of doc_id; near copies among them (equal least
-hash of five-word shingles) count once. The sample is bounded by that parameter; every
-text is scored whole, with a table of at most FEATURES weights.
+hash of five-word shingles) count once, as the one of least doc_id, then text hash. The
+sample is bounded by that parameter, and with it the table of weights: every feature that
+passes the test of its odds has one. Every text is scored whole. The same rows give the
+same model however they are dealt out.
 
 Defined cases. Null or empty text: no tokens, no segment, the score of that evidence.
 Null doc_id: scored, held_out false, never learnt from. Labels that are null are left
@@ -37,12 +39,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import scrambled, steps, stored, utf8, window_names, word_names
+from millrace.llm.common import numbered, place_of, scrambled, steps, stored, utf8, window_names, word_names, without
 
 #: Labelled rows that are learnt from, at most.
 TRAIN_ROWS = 20_000
-#: Weights at most, the surest first.
-FEATURES = 5_000
 #: The prior's weight, in documents; the least documents and standard errors of a feature.
 PRIOR, LEAST_DOCS, LEAST_Z = 20.0, 6, 4.0
 PREFIXES = (4, 5, 6)
@@ -179,8 +179,8 @@ def law_of(scores: np.ndarray, counts: np.ndarray, lengths: np.ndarray, best: np
     return high, max(1e-9, len(best) / max(rate, 1e-9))
 
 
-def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
-    """Weights, law and calibration from labelled rows that are not held out."""
+def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, most: int | None = None) -> Model:
+    """Weights, law and calibration from labelled rows that are not held out; of the weights the `most` surest, or all."""
     key = F.col("doc_id").cast("string")
     chosen = (
         labels.where("doc_id is not null and toxic is not null")
@@ -204,7 +204,9 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least.view(np.int64))], names=["doc_id", "text", "y", "copy"])
 
     marked = texts.select(F.col("doc_id").cast("long"), "text", "y").mapInArrow(mark, "doc_id long, text string, y int, copy long")
-    sample = stored(marked.dropDuplicates(["copy", "y"]), "toxicity-sample")
+    # Of the copies the one of least doc_id, then hash: which row comes first decides nothing.
+    least = F.min(F.struct("doc_id", F.xxhash64("text").alias("h"), "text"))
+    sample = stored(marked.groupBy("copy", "y").agg(least.alias("r")).select("r.doc_id", "r.text", "y"), "toxicity-sample")
     classes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = classes.get(1, 0), sum(n for y, n in classes.items() if y != 1)
     if not n1 or not n0:
@@ -232,67 +234,82 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     odds = F.log((F.col("a") + prior) / (n1 + PRIOR - F.col("a") - prior)) - F.log((F.col("b") + prior) / (n0 + PRIOR - F.col("b") - prior))
     z = odds / F.sqrt(F.lit(1.0) / (F.col("a") + prior) + F.lit(1.0) / (F.col("b") + prior))
     sure = table.where(F.col("a") + F.col("b") >= LEAST_DOCS).where((F.col("a") < n1) | (F.col("b") < n0)).select("name", odds.alias("odds"), z.alias("z"))
-    rows = sure.where(F.col("z") >= LEAST_Z).orderBy(F.col("z").desc(), "name").limit(FEATURES).collect()
+    ranked = sure.where(F.col("z") >= LEAST_Z).orderBy(F.col("z").desc(), "name")
+    # As many as the bounded sample's texts have features that pass.
+    rows = (ranked if most is None else ranked.limit(most)).collect()
     names = np.array([r["name"] for r in rows], dtype=np.int64).view(np.uint64)
     order = np.argsort(names)
     bare = Model(names[order], np.array([r["odds"] for r in rows])[order], (1.0, 1.0), (0.0, 0.0, 0.0, 0.0))
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, "text"):
-            data, starts, ends, counts = tokens(*utf8(batch.column(1)))
-            scores, first, out = bare.scores(data, starts, ends), 0, []
-            for y, n in zip(batch.column(2).to_pylist(), counts.tolist(), strict=True):
-                own = scores[first : first + n]
-                levels, times = np.unique(np.rint(own[own > 0] * 8) / 8, return_counts=True)
-                out.append((y, n, [s for _, _, s in segments(own)], levels.tolist(), times.tolist()))
-                first += n
-            kinds = [pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["y", "n", "segments", "levels", "times"])
-
-    # One row of numbers for each of the TRAIN_ROWS texts at most.
-    seen = sample.select("doc_id", "text", "y").mapInArrow(measure, "y int, n long, segments array<double>, levels array<double>, times array<long>").collect()
-    other = [r for r in seen if r["y"] != 1]
-    levels: dict[float, int] = {}
-    for r in other:
-        for level, k in zip(r["levels"], r["times"], strict=True):
-            levels[level] = levels.get(level, 0) + k
-    ordinary = sum(r["n"] for r in other) - sum(levels.values())
-    best = np.array([max(r["segments"], default=0.0) for r in other])
-    law = law_of(np.array([*levels, -DRIFT]), np.array([*levels.values(), ordinary], dtype=float), np.array([float(r["n"]) for r in other]), best)
-    summary = []
-    for r in seen:
-        good = [s for s in r["segments"] if law[1] * r["n"] * np.exp(-law[0] * s) < SIGNIFICANT]
-        summary.append((r["n"], max(r["segments"], default=0.0), len(good), sum(good)))
-    x = _inputs(law, np.array(summary, dtype=float))
-    weights = fitted(x, np.array([float(r["y"] == 1) for r in seen]))
+    shared = docs.sparkSession.sparkContext.broadcast(bare)
+
+    def measured(law: tuple[float, float] | None) -> DataFrame:
+        """A row of five numbers per text; without a law yet, also the batch's token scores above zero, in eighths, with their counts."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in steps(batches, "text"):
+                data, starts, ends, counts = tokens(*utf8(batch.column(1)))
+                scores, first, out = shared.value.scores(data, starts, ends), 0, []
+                for y, n in zip(batch.column(2).to_pylist(), counts.tolist(), strict=True):
+                    found = [s for _, _, s in segments(scores[first : first + n])]
+                    good = [] if law is None else [s for s in found if law[1] * n * np.exp(-law[0] * s) < SIGNIFICANT]
+                    out.append((int(y == 1), n, max(found, default=0.0), len(good), float(sum(good)), None, None))
+                    if law is None and y != 1:
+                        own = scores[first : first + n]
+                        levels, times = np.unique(np.rint(own[own > 0] * 8) / 8, return_counts=True)
+                        out += [(None, None, None, None, None, x, k) for x, k in zip(levels.tolist(), times.tolist(), strict=True)]
+                    first += n
+                kinds = [pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["y", "n", "best", "k", "total", "level", "times"])
+
+        return sample.select("doc_id", "text", "y").mapInArrow(run, "y int, n long, best double, k long, total double, level double, times long")
+
+    # What goes to the driver: five numbers for each of the TRAIN_ROWS texts at most, in an order of
+    # their own, and one row for each eighth that a weight can round to.
+    first_pass = stored(measured(None), "toxicity-scores")
+    levels = sorted((r["level"], r["times"]) for r in first_pass.where("level is not null").groupBy("level").agg(F.sum("times").alias("times")).collect())
+    other = sorted((r["n"], r["best"]) for r in first_pass.where("y = 0").select("n", "best").collect())
+    lengths, best = (np.array(c, dtype=float) for c in zip(*other, strict=True))
+    ordinary = lengths.sum() - sum(k for _, k in levels)
+    law = law_of(np.array([*(x for x, _ in levels), -DRIFT]), np.array([*(k for _, k in levels), ordinary], dtype=float), lengths, best)
+    table = np.array(sorted((r["y"], r["n"], r["best"], r["k"], r["total"]) for r in measured(law).drop("level", "times").collect()), dtype=float)
+    weights = fitted(_inputs(law, table[:, 1:]), table[:, 0])
+    shared.unpersist()
     return Model(bare.names, bare.weights, law, tuple(float(w) for w in weights))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with _tox_score and _tox_passages (spans of bytes of the UTF-8 text, with their score)."""
+def _scored(docs: DataFrame, place: int, model: Model, score: str, passages: str) -> DataFrame:
+    """docs, whose texts are at `place`, with two more columns of these names."""
     from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
     span = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType()), StructField("score", DoubleType())]))
-    schema = StructType([*docs.schema.fields, StructField("_tox_score", DoubleType()), StructField("_tox_passages", span)])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES weights at most
-    columns = list(docs.columns)
-    place = columns.index("text")
+    schema = StructType([*docs.schema.fields, StructField(score, DoubleType()), StructField(passages, span)])
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # its weights follow the bounded sample
+    names = [*docs.columns, score, passages]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in steps(batches, "text"):
+        for batch in steps(batches, place):
             data, offsets = utf8(batch.column(place))
-            out, passages, (starts, ends, _) = evidence(own, data, offsets)
-            spans = [[{"start": int(starts[a] - offsets[i]), "end": int(ends[b - 1] - offsets[i]), "score": float(s)} for a, b, s in found] for i, found in enumerate(passages)]
+            out, found, (starts, ends, _) = evidence(own, data, offsets)
+            spans = [[{"start": int(starts[a] - offsets[i]), "end": int(ends[b - 1] - offsets[i]), "score": float(s)} for a, b, s in row] for i, row in enumerate(found)]
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(probabilities(own, out)), pa.array(spans, type=kind)], names=[*columns, "_tox_score", "_tox_passages"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(probabilities(own, out)), pa.array(spans, type=kind)], names=names)
 
     return docs.mapInArrow(run, schema)
 
 
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with _tox_score and _tox_passages (spans of bytes of the UTF-8 text, with their score)."""
+    docs = without(docs, "_tox_score", "_tox_passages")
+    return _scored(numbered(docs), place_of(docs, "text"), model, "score", "passages").toDF(*docs.columns, "_tox_score", "_tox_passages")
+
+
 def clean(docs: DataFrame, labels: DataFrame, training: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """docs without those that score threshold or more; learnt from `training` (docs itself by default)."""
-    return scored(docs, learn(training if training is not None else docs, labels)).where(F.col("_tox_score") < threshold).select(*docs.columns)
+    model = learn(training if training is not None else docs, labels)
+    plain = numbered(docs)
+    left = _scored(plain, place_of(docs, "text"), model, "score", "passages").where(F.col("score") < threshold)
+    return left.select(*plain.columns).toDF(*docs.columns)
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -82,3 +84,78 @@ def test_awkward_documents(awkward, empty, spark):
     for few in (none, odd):
         assert toxicity.clean(awkward, few).count() == awkward.count()
     assert toxicity.clean(empty, labels).count() == 0
+
+
+def test_the_same_rows_give_the_same_model(spark):
+    """Copies that are labelled alike, and rows that are dealt otherwise, change nothing."""
+    docs, labels = corpus(spark, 300)
+    more = docs.where("doc_id < 60").selectExpr("doc_id + 1000 as doc_id", "concat(text, ' extra', doc_id % 3) as text")
+    docs = docs.unionByName(more).unionByName(docs.where("doc_id < 20"))
+    labels = labels.unionByName(labels.where("doc_id < 60").withColumn("doc_id", labels["doc_id"] + 1000))
+    one, two = (toxicity.learn(docs.repartition(n), labels.repartition(n + 1)) for n in (2, 7))
+    assert one.names.tolist() == two.names.tolist() and one.weights.tolist() == two.weights.tolist()
+    assert one.law == two.law and one.logistic == two.logistic
+    assert len(toxicity.learn(docs, labels, most=3).names) == 3
+
+
+def test_model_and_scores_against_plain_python(spark):
+    r = random.Random(9)
+    docs, y = {}, {}
+    for i in range(260):
+        words = [f"{r.choice('bcdfg')}{r.choice('aeiou')}{r.randrange(10**4)}" .translate(str.maketrans("0123456789", "klmnopqrst")) for _ in range(r.randrange(6, 22))]
+        y[i] = int(i % 4 == 0)
+        if y[i]:
+            at = r.randrange(len(words))
+            words[at:at] = [r.choice(["vileworm", "vileworms", "scoundrel"]) for _ in range(2)]
+        elif r.random() < 0.06:
+            words.append("vileworm")
+        docs[i] = " ".join(words) + "."
+    model = toxicity.learn(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(y.items()), "doc_id long, toxic int"))
+    learnt = [i for i in docs if zlib.crc32(str(i).encode()) % 4 != 2]
+    tokens = {i: re.findall("[a-z]+", t) for i, t in docs.items()}
+    kinds = lambda w: [("word", w), *((k, w[:k]) for k in (4, 5, 6))]
+    n1, n0 = sum(y[i] for i in learnt), sum(1 - y[i] for i in learnt)
+    counts: dict = {}
+    for i in learnt:
+        for f in {f for w in tokens[i] for f in kinds(w)}:
+            counts.setdefault(f, [0, 0])[1 - y[i]] += 1
+    odds = {}
+    for f, (a, b) in counts.items():
+        p = 20.0 * (a + b) / (n1 + n0)
+        if a + b >= 6 and (a < n1 or b < n0):
+            o = math.log((a + p) / (n1 + 20.0 - a - p)) - math.log((b + p) / (n0 + 20.0 - b - p))
+            if o / math.sqrt(1 / (a + p) + 1 / (b + p)) >= 4:
+                odds[f] = o
+    assert odds and sorted(odds.values()) == pytest.approx(sorted(model.weights.tolist()))
+    scores = {i: [max([0.0, *(odds.get(f, 0.0) for f in kinds(w))]) - 0.25 for w in ws] for i, ws in tokens.items()}
+    parts = {i: [sum(s[a:b]) for a, b in plain_segments(s)] for i, s in scores.items()}
+    # The extreme-value law over the other documents: scores above zero count in eighths.
+    plain = [round(x * 8) / 8 if x > 0 else -0.25 for i in learnt if not y[i] for x in scores[i]]
+    mean = lambda t: sum(math.exp(t * x) for x in plain) / len(plain)
+    low, high = 1e-6, 64.0
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if mean(middle) < 1 else (low, middle)
+    k = n0 / sum(max(1, len(scores[i])) * math.exp(-high * max(parts[i], default=0.0)) for i in learnt if not y[i])
+    assert model.law == pytest.approx((high, k), rel=1e-6)
+
+    def inputs(i: int) -> list[float]:
+        n, best = len(scores[i]), max(parts[i], default=0.0)
+        good = [s for s in parts[i] if k * n * math.exp(-high * s) < 0.05]
+        return [1.0, min(30.0, max(-10.0, high * best - math.log(k * max(1, n)))), math.log1p(len(good)), math.log1p(sum(good))]
+
+    w = model.logistic
+    chance = lambda i: 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, inputs(i)))))
+    # The calibration is where the penalised likelihood is flat.
+    for j in range(4):
+        assert abs(sum((y[i] - chance(i)) * inputs(i)[j] for i in learnt) - 1e-2 * w[j]) < 1e-4
+    rows = {r_["doc_id"]: r_["_tox_score"] for r_ in toxicity.scored(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), model).collect()}
+    assert all(rows[i] == pytest.approx(chance(i), rel=1e-6) for i in docs)
+
+
+def test_clashing_and_awkward_column_names(spark):
+    docs, labels = corpus(spark, 120)
+    odd = docs.selectExpr("doc_id", "text", "5 as _tox_score", "6 as `a.b`", "7 as score", "8 as passages")
+    left = toxicity.clean(odd, labels)
+    assert left.columns == odd.columns and left.first()[2:] == (5, 6, 7, 8)
+    assert isinstance(toxicity.scored(odd, toxicity.learn(docs, labels)).first()["_tox_score"], float)
