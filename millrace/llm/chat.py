@@ -11,8 +11,11 @@ backslash off restores the text. The loss mask is the list of spans (code points
 exclusive, with the number of the turn from 1) of the texts of trained roles within the
 string.
 
-Turns meet by one shuffle on conv_id: window functions over it find the blocks and the
-offsets, then the turn structs are collected, sorted and concatenated.
+Turns meet by one shuffle on conv_id, where their structs are collected and sorted. The
+rest is array functions over the sorted turns: adjacent turns of one role are merged by
+comparing each with its neighbours, offsets are running sums that an aggregation makes by
+doubling steps (the sums of 1, 2, 4 ... lengths), in n log n, and the pieces are
+concatenated.
 
 Defined cases. Null text or role: the empty string. Null conv_id: a conversation of its
 own. Null turn: before all others. Ties of turn: by role, then text. Repeated rows: each
@@ -21,7 +24,7 @@ is a turn. Empty table: no rows. Other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>\n"
@@ -40,24 +43,31 @@ def unescaped(text: Column) -> Column:
 def format_chats(turns: DataFrame, trained: str = TRAINED) -> DataFrame:
     """conv_id, formatted (the string) and loss (array of start, end, turn) of every conversation."""
     role, text = F.coalesce(F.col("role").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    opens = F.coalesce(F.lag("role").over(order) != F.col("role"), F.lit(True))
-    closes = F.coalesce(F.lead("role").over(order) != F.col("role"), F.lit(True))
-    pieces = (
-        rows.withColumn("n", F.row_number().over(order))
-        .withColumn("head", F.when(opens, F.concat(F.lit(TURN), escaped(F.col("role")), F.lit(TEXT))).otherwise(F.lit(TEXT)))
-        .withColumn("tail", F.when(closes, F.lit(END)).otherwise(F.lit("")))
-        .withColumn("body", escaped(F.col("text")))
-    )
-    long = F.length("head") + F.length("body") + F.length("tail")
-    sofar = order.rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.withColumn("begin", F.coalesce(F.sum(long.cast("long")).over(sofar), F.lit(0)) + F.length("head")).select(
-        "conv_id", F.struct("n", F.concat("head", "body", "tail").alias("piece"), F.col("begin").alias("start"), (F.col("begin") + F.length("body")).alias("end"), (F.col("role") == trained).alias("train")).alias("p")
-    )
-    sorted_ = pieces.groupBy("conv_id").agg(F.sort_array(F.collect_list("p")).alias("p"))
-    spans = F.transform(F.filter("p", lambda x: x["train"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["n"].alias("turn")))
-    return sorted_.select("conv_id", F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("formatted"), spans.alias("loss"))
+    # Structs sort by their fields in order, nulls first.
+    turn = F.struct(F.col("turn").alias("turn"), role.alias("role"), text.alias("text"))
+    sorted_ = turns.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
+
+    def merged(t: Column, i: Column) -> Column:
+        """A turn's piece of the string: the head that opens its block or goes on with it, its text, and its block's end."""
+        opens = ~F.get("t", i - 1)["role"].eqNullSafe(t["role"])
+        closes = ~F.get("t", i + 1)["role"].eqNullSafe(t["role"])
+        head = F.when(opens, F.concat(F.lit(TURN), escaped(t["role"]), F.lit(TEXT))).otherwise(F.lit(TEXT))
+        return F.struct(head.alias("head"), escaped(t["text"]).alias("body"), F.when(closes, F.lit(END)).otherwise(F.lit("")).alias("tail"), (t["role"] == trained).alias("train"))
+
+    pieces = sorted_.select("conv_id", F.transform("t", merged).alias("p"))
+    sized = pieces.select("conv_id", "p", F.transform("p", lambda x: F.struct(F.length(x["head"]).cast("long").alias("h"), F.length(x["body"]).cast("long").alias("b"), F.length(x["tail"]).cast("long").alias("e"))).alias("z"))
+    ends = running_sums(F.transform("z", lambda z: z["h"] + z["b"] + z["e"]))
+    placed = sized.select("conv_id", "p", F.zip_with("z", ends, lambda z, end: F.struct((end - z["b"] - z["e"]).alias("start"), (end - z["e"]).alias("end"))).alias("at"))
+    spans = F.transform("p", lambda x, i: F.struct(x["train"].alias("train"), F.get("at", i)["start"].alias("start"), F.get("at", i)["end"].alias("end"), (i + 1).alias("turn")))
+    loss = F.transform(F.filter(spans, lambda s: s["train"]), lambda s: F.struct(s["start"], s["end"], s["turn"]))
+    return placed.select("conv_id", F.array_join(F.transform("p", lambda x: F.concat(x["head"], x["body"], x["tail"])), "").alias("formatted"), loss.alias("loss"))
+
+
+def running_sums(lengths: Column) -> Column:
+    """The running sums of an array of longs: after the step of width w, each entry is the sum of the 2 w entries up to it."""
+    zero = F.lit(0).cast("long")
+    steps = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(lengths), F.lit(1)))).cast("int")), lambda k: F.pow(F.lit(2.0), k).cast("int"))
+    return F.aggregate(steps, lengths, lambda sums, w: F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - w), zero)))
 
 
 def turns_of(formatted: Column) -> Column:
