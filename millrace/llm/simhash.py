@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import remove, shared_dir, steps, stored, utf8, word_spans
+from millrace.llm.common import numbered, place_of, steps, stored, utf8, word_spans
 
 SEED = 42
 #: Fingerprints link at this many differing bits or fewer.
@@ -96,9 +96,9 @@ def fingerprinted(docs: DataFrame, width: int = SHINGLE, keep_hashes: bool = Fal
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def text_hashes() -> tuple[Column, Column]:
+def text_hashes(name: str = "text") -> tuple[Column, Column]:
     """128 bits that tell texts apart, null from empty too."""
-    text = F.col("text").cast("string")
+    text = F.col(name).cast("string")
     return F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")
 
 
@@ -260,10 +260,11 @@ def deduplicate(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) ->
     no, known = F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))
     rows = stored(fingerprinted(docs, width, keep_hashes=True), "simhash-fp").select("fp", F.struct(no.alias("_sim_no"), known.alias("_sim_id"), F.col("h1").alias("_sim_h1"), F.col("h2").alias("_sim_h2")).alias("key"))
     first = rooted(rows, F.min("key"), radius).groupBy("root").agg(F.min("low").alias("low")).select("low.*")
-    h1, h2 = text_hashes()
+    plain, text, doc_id = numbered(docs), f"c{place_of(docs, 'text')}", f"c{place_of(docs, 'doc_id')}"
+    marks = [F.col(doc_id).isNull().alias("_sim_no"), F.coalesce(F.col(doc_id).cast("long"), F.lit(0).cast("long")).alias("_sim_id"), *(h.alias(n) for h, n in zip(text_hashes(text), ("_sim_h1", "_sim_h2"), strict=True))]
     # Copies of one row are one before they meet anything: grouped where they lie, then by key.
-    once = docs.select("*", no.alias("_sim_no"), known.alias("_sim_id"), h1.alias("_sim_h1"), h2.alias("_sim_h2")).dropDuplicates(first.columns)
-    return once.join(first, first.columns, "left_semi").select(*docs.columns)
+    once = plain.select("*", *marks).dropDuplicates(first.columns)
+    return once.join(first, first.columns, "left_semi").select(*plain.columns).toDF(*docs.columns)
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

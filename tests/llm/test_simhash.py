@@ -95,3 +95,10 @@ def test_a_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     found = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
     assert all(found[i] == 0 for i in range(1, 61)) and found[101] == 100
+
+
+def test_clashing_and_awkward_column_names(spark):
+    a, b = (" ".join(f"{x}{i * i % 97}" for i in range(80)) for x in "ab")
+    df = spark.createDataFrame([(1, a, 5, 6, "x"), (2, b, 7, 8, "y"), (3, a, 9, 10, "z")], "doc_id long, text string, _sim_no int, `a.b` int, fp string")
+    kept = simhash.deduplicate(df)
+    assert kept.columns == df.columns and sorted(tuple(r) for r in kept.collect()) == [(1, a, 5, 6, "x"), (2, b, 7, 8, "y")]
