@@ -11,7 +11,8 @@ fewer pieces than the pattern needs, so there are at most sum(CAPACITY / length
 patterns, about 18,000 for 2048: the plan that tasks get has a fixed bound.
 
 Pieces meet their slots by rank within their length. Ranks come from counts per (length,
-salt), so no length, however frequent, is numbered in one task.
+salt), and the number of salts follows that of the most frequent length's pieces, so no
+length, however frequent, is numbered in one task.
 
 Defined cases. Null or empty text: the closing id alone. Null doc_id: kept as null.
 Repeated rows: packed each on its own. Texts of any length are cut, never dropped. Empty
@@ -34,8 +35,8 @@ from millrace.llm.common import steps, stored, utf8
 CAPACITY = 2048
 #: Closes every document.
 END_ID = 1
-#: Groups of pieces of one length that are numbered apart.
-SALTS = 256
+#: Groups of pieces of one length that are numbered apart, at least, and the pieces of a group, about.
+SALTS, SALT_PIECES = 256, 1 << 17
 #: Words whose ids a worker keeps in each of two generations.
 WORDS_KEPT = 500_000
 #: Words encoded in one call.
@@ -208,9 +209,9 @@ def segments(patterns: list[tuple[int, list[tuple[int, int]]]]) -> dict[str, np.
     return dict(zip(("length", "rank", "each", "sequence", "offset"), table.T.copy(), strict=True))
 
 
-def ranked(pieces: DataFrame) -> DataFrame:
+def ranked(pieces: DataFrame, salts: int = SALTS) -> DataFrame:
     """pieces with their rank (from 0) within their length."""
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("int"))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int"))
     counts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
@@ -219,7 +220,7 @@ def ranked(pieces: DataFrame) -> DataFrame:
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
-    """Every piece of every document with its sequence_id and offset (and ids, if kept)."""
+    """Every piece of every document with its sequence_id and offset (and ids, little-endian unsigned 32-bit, if kept)."""
     pieces = stored(tokenized(docs, path, capacity, keep_ids), "pack-pieces")
     # At most `capacity` rows, however large the input.
     histogram = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -242,7 +243,8 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bool =
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids
     kind = {"ids": "binary"}
     schema = ", ".join(f"{n} {kind.get(n, 'long')}" for n in names) + ", sequence_id long, offset long"
-    return ranked(pieces).select(*names, F.col("rank").cast("long")).mapInArrow(run, schema)
+    salts = max(SALTS, max(histogram.values(), default=0) // SALT_PIECES)
+    return ranked(pieces, salts).select(*names, F.col("rank").cast("long")).mapInArrow(run, schema)
 
 
 def op2_packing(spark, sf_dir: str) -> DataFrame:
