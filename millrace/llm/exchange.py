@@ -5,7 +5,10 @@ the corpus it asks by name: its distinct names, sorted, go out in one payload pe
 of the name space; the bucket's task sees every block's names of that bucket, works out
 an answer for each, and the answers return to the block. Distinct names per block are
 the pre-aggregation: a passage that a third of all documents share is one name a block.
-The number of buckets follows the corpus, so a bucket's task holds a bounded share.
+The number of buckets follows the corpus, and so does the number of tasks: a task works
+through a bucket, or BLOCKS_A_TASK blocks, at a time. A bucket holds BUCKET_NAMES entries
+on average; a name that is in every block adds an entry for each of them, one for some
+300,000 words of the corpus, which is what a bucket can exceed its share by.
 
 A block sends a payload to each bucket that it has names in. Once there are more buckets
 than names in a block, payloads hold single names and their headers outweigh them: for a
@@ -34,24 +37,23 @@ BLOCK_BYTES = 2 << 20
 BUCKET_NAMES = 2 << 20
 #: Buckets at least, as a power of two.
 LEAST_BITS = 6
+#: Blocks of a task, about, and tasks at most.
+BLOCKS_A_TASK, TASKS_MOST = 4, 1 << 16
 
-BLOCK_SCHEMA = "block long, ids binary, offsets binary, data binary, words long"
+BLOCK_SCHEMA = "block long, ids binary, known binary, offsets binary, data binary, words long"
 
 
 class Block:
-    """One row of blocks(): document ids and their texts as one byte array, compressed while it travels."""
+    """One row of blocks(): document ids (known: whether there is one) and their texts as one byte array, compressed while it travels."""
 
     def __init__(self, row: dict):
         self.block = row["block"]
         self.ids = np.frombuffer(row["ids"], dtype=np.int64)
+        self.known = np.unpackbits(np.frombuffer(row["known"], dtype=np.uint8), count=len(self.ids)).astype(bool)
         self.offsets = np.frombuffer(row["offsets"], dtype=np.int64)
         self.data = np.frombuffer(pa.decompress(row["data"], int(self.offsets[-1]), codec="zstd", asbytes=True) if self.offsets[-1] else b"", dtype=np.uint8)
 
 
-#: Stands for a null doc_id in Block.ids; it is larger than any other.
-NO_ID = np.iinfo(np.int64).max
-
-
 def blocks(docs: DataFrame, label: str, count_words: Callable[[np.ndarray, np.ndarray], int], block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs (doc_id, text) as stored blocks."""
 
@@ -59,11 +61,12 @@ def blocks(docs: DataFrame, label: str, count_words: Callable[[np.ndarray, np.nd
         task, n = TaskContext.get().partitionId(), 0
         for batch in steps(batches, "text", block_bytes):
             data, offsets = utf8(batch.column(1))
-            ids = batch.column(0).fill_null(int(NO_ID)).to_numpy().astype(np.int64)
-            row = [task << 32 | n, ids.tobytes(), offsets.astype(np.int64).tobytes(), pa.compress(data.tobytes(), codec="zstd", asbytes=True), count_words(data, offsets)]
+            ids = batch.column(0).fill_null(0).to_numpy().astype(np.int64)
+            known = np.packbits(batch.column(0).is_valid().to_numpy(zero_copy_only=False)).tobytes()
+            row = [task << 32 | n, ids.tobytes(), known, offsets.astype(np.int64).tobytes(), pa.compress(data.tobytes(), codec="zstd", asbytes=True), count_words(data, offsets)]
             n += 1
-            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([x], type=t) for x, t in zip(row, kinds, strict=True)], names=["block", "ids", "offsets", "data", "words"])
+            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], type=t) for x, t in zip(row, kinds, strict=True)], names=["block", "ids", "known", "offsets", "data", "words"])
 
     return stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, BLOCK_SCHEMA), label)
 
@@ -91,6 +94,12 @@ def bits_for(names: int, bucket_names: int = BUCKET_NAMES) -> int:
     return max(LEAST_BITS, int(max(1, names) / bucket_names).bit_length())
 
 
+def dealt(rows: DataFrame, key: str, tasks: int) -> DataFrame:
+    """rows dealt by key to so many tasks, where the session's number of shuffle partitions is less."""
+    tasks = min(tasks, TASKS_MOST)
+    return rows.repartition(tasks, key) if tasks > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 ASK_SCHEMA = "block long, bucket int, names binary, extra binary"
 
 
@@ -113,8 +122,8 @@ def asked(block: int, names: np.ndarray, extra: np.ndarray, bits: int) -> pa.Rec
 ANSWER_SCHEMA = "block long, bucket int, answer binary"
 
 
-def answered(asks: DataFrame, answer: Callable[[np.ndarray, np.ndarray, list[bytes]], np.ndarray], finish: Callable[[np.ndarray], bytes], label: str) -> DataFrame:
-    """Stored answers (block, bucket, answer) to all asks.
+def answered(asks: DataFrame, answer: Callable[[np.ndarray, np.ndarray, list[bytes]], np.ndarray], finish: Callable[[np.ndarray], bytes], label: str, bits: int) -> DataFrame:
+    """Stored answers (block, bucket, answer) to all asks in 2 ** bits buckets.
 
     answer gets, for one bucket, all names in sorted order, the order that sorts them, and
     the payloads' extras in their order before sorting; it returns an array in sorted
@@ -132,7 +141,7 @@ def answered(asks: DataFrame, answer: Callable[[np.ndarray, np.ndarray, list[byt
         ends = np.cumsum(sizes)
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "answer": pa.array([finish(back[b - a : b]) for a, b in zip(sizes, ends, strict=True)], type=pa.binary())})
 
-    return stored(asks.groupBy("bucket").applyInArrow(run, ANSWER_SCHEMA), label)
+    return stored(dealt(asks, "bucket", 1 << bits).groupBy("bucket").applyInArrow(run, ANSWER_SCHEMA), label)
 
 
 def runs_of(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +152,7 @@ def runs_of(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(names)))
 
 
-def with_answers(table: DataFrame, answers: DataFrame, use: Callable[[Block, list], Iterator[pa.RecordBatch]], schema: str, tagged: bool = False) -> DataFrame:
+def with_answers(table: DataFrame, answers: DataFrame, use: Callable[[Block, list], Iterator[pa.RecordBatch]], schema: str, n_blocks: int, tagged: bool = False) -> DataFrame:
     """use(block, its answers in bucket order) for every block; tagged: (bucket, answer) pairs."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -154,4 +163,5 @@ def with_answers(table: DataFrame, answers: DataFrame, use: Callable[[Block, lis
         found = [b for row in left.to_pylist() for b in use(Block(row), parts)]
         return pa.Table.from_batches(found)
 
-    return table.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+    tasks = n_blocks // BLOCKS_A_TASK
+    return dealt(table, "block", tasks).groupBy("block").cogroup(dealt(answers, "block", tasks).groupBy("block")).applyInArrow(run, schema)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import scrambled, window_names, word_names, word_spans
-from millrace.llm.exchange import ASK_SCHEMA, BLOCK_BYTES, BUCKET_NAMES, NO_ID, Block, answered, asked, bits_for, blocks, with_answers
+from millrace.llm.exchange import ASK_SCHEMA, BLOCK_BYTES, BUCKET_NAMES, Block, answered, asked, bits_for, blocks, with_answers
 
 ORDER = 3
 #: The weight of each step back.
@@ -114,7 +114,7 @@ def _all(parts: list[bytes]) -> np.ndarray:
 def scored(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_names: int = BUCKET_NAMES) -> DataFrame:
     """doc_id, n_words, by_triple, by_pair, by_word (words scored at each order) and mean_log_score."""
     table = blocks(docs, "scoring-blocks", lambda data, offsets: int(word_spans(data, offsets)[2].sum()), block_bytes)
-    words = int(table.agg(F.sum("words")).first()[0] or 0)
+    words, n_blocks = table.agg(F.coalesce(F.sum("words"), F.lit(0)), F.count(F.lit(1))).first()
     bits = bits_for(words, bucket_names)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,14 +123,14 @@ def scored(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_names: int =
                 g = Grams(Block(row))
                 yield _asks(row["block"], g.distinct, g.own, bits)
 
-    low = answered(table.mapInArrow(ask, ASK_SCHEMA), _add, _counts, "scoring-pairs")
+    low = answered(table.mapInArrow(ask, ASK_SCHEMA), _add, _counts, "scoring-pairs", bits)
 
     def ask_triples(block: Block, parts: list[bytes]) -> Iterator[pa.RecordBatch]:
         g = Grams(block)
         names, _ = g.triples(g.elsewhere(_all(parts))[1])
         yield _asks(block.block, *np.unique(names, return_counts=True), bits)
 
-    high = answered(with_answers(table, low, ask_triples, ASK_SCHEMA), _add, _counts, "scoring-triples")
+    high = answered(with_answers(table, low, ask_triples, ASK_SCHEMA, n_blocks), _add, _counts, "scoring-triples", bits)
     both = low.select("block", (F.col("bucket") * 2).alias("bucket"), "answer").unionByName(high.select("block", (F.col("bucket") * 2 + 1).alias("bucket"), "answer"))
 
     def score(block: Block, tagged: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -156,14 +156,14 @@ def scored(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_names: int =
         threes, twos = (np.bincount(g.doc[x], minlength=k) for x in (by3, by2))
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([None if i == NO_ID else int(i) for i in block.ids], type=pa.int64()),
+                pa.array(block.ids, mask=~block.known),
                 *[pa.array(x.astype(np.int64)) for x in (g.counts, threes, twos, g.counts - threes - twos)],
                 pa.array(mean, type=pa.float64()),
             ],
             names=["doc_id", "n_words", "by_triple", "by_pair", "by_word", "mean_log_score"],
         )
 
-    return with_answers(table, both, score, "doc_id long, n_words long, by_triple long, by_pair long, by_word long, mean_log_score double", tagged=True)
+    return with_answers(table, both, score, "doc_id long, n_words long, by_triple long, by_pair long, by_word long, mean_log_score double", n_blocks, tagged=True)
 
 
 def op9_scoring(spark, sf_dir: str) -> DataFrame:

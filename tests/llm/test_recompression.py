@@ -52,16 +52,51 @@ def test_against_brute_force_on_few_words(spark):
     assert got(recompression.removed(df, block_bytes=300, bucket_names=20)) == plain(rows)
 
 
-def test_boundaries_depend_on_three_words_a_side():
+def test_sure_symbols_are_the_same_wherever_a_window_occurs():
+    """Symbols whose context lies within given words occur at the same offsets beside any other words."""
     r = np.random.default_rng(0)
-    for _ in range(200):
-        core = r.integers(0, 5, 13, dtype=np.uint64)
-        seen = []
-        for _ in range(4):
-            left, right = (r.integers(0, 5, int(r.integers(0, 9)), dtype=np.uint64) for _ in range(2))
-            names = np.concatenate([left, core, right])
-            seen.append(recompression.boundaries(names)[len(left) + 3 : len(left) + 11].tolist())
-        assert all(s == seen[0] for s in seen)
+    some = 0
+    for kinds in (2, 3, 5, 40):
+        for _ in range(150):
+            core = r.integers(0, kinds, 13, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            seen = []
+            for _ in range(4):
+                left, right = (r.integers(0, kinds, int(r.integers(0, 9)), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(2))
+                other = r.integers(0, kinds, 5, dtype=np.uint64)
+                names = np.concatenate([other, left, core, right, other])
+                found = recompression.recompressed(names, np.array([5, len(left) + 13 + len(right), 5]))
+                at = 5 + len(left)
+                assert (np.diff(found.low) >= 0).all() and (np.diff(found.high) >= 0).all()
+                sure = (found.low >= at) & (found.high <= at + 13)
+                seen.append(list(zip((found.low[sure] - at).tolist(), (found.high[sure] - at).tolist(), found.names[sure].tolist())))
+                key = recompression.window_keys(names, np.array([5, len(left) + 13 + len(right), 5]), np.array([7], dtype=np.uint64), np.array([at]))
+                seen[-1].append(int(key[0]))
+            assert all(s == seen[0] for s in seen)
+            some += len(seen[0]) > 1
+    assert some > 400
+
+
+def test_a_round_by_hand():
+    """Runs become one symbol, then each pair of class L and class R; contexts hold the neighbours that were looked at."""
+    left = next(x for x in range(1, 10**6) if (x >> 17) & 1 == 0)
+    right = next(x for x in range(1, 10**6) if (x >> 17) & 1)
+    outside = (np.array([-1]), np.array([6]))
+    words = np.array([right, left, right, left, left], dtype=np.uint64)
+    at = np.arange(5)
+    start = recompression.Symbols(words, np.zeros(5, np.int64), at, at + 1)
+    runs = start.runs(outside)
+    assert runs.names[:3].tolist() == [right, left, right] and len(runs.names) == 4
+    assert runs.low.tolist() == [-1, 0, 1, 2] and runs.high.tolist() == [2, 3, 4, 6]
+    pairs = runs.pairs(outside)
+    assert len(pairs.names) == 3 and pairs.low.tolist()[:2] == [-1, 0] and pairs.high.tolist()[:2] == [2, 4]
+
+
+def test_the_largest_id_is_none_like_null(spark):
+    """A doc_id of 2**63 - 1 is an id like any other; null comes after it."""
+    most, text = 2**63 - 1, " ".join(f"w{i}" for i in range(20))
+    rows = [(most, text), (None, text), (most - 1, "x " + text), (None, "y " + " ".join(f"v{i}" for i in range(14))), (most, " ".join(f"v{i}" for i in range(14)))]
+    for size in (1 << 20, 10):
+        assert got(recompression.removed(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), block_bytes=size)) == plain(rows)
 
 
 def test_payloads_come_back():

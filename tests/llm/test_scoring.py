@@ -43,3 +43,8 @@ def test_awkward_documents(awkward, empty):
 def test_a_single_document(spark):
     row = scoring.scored(spark.createDataFrame([(1, "a b a b")], "doc_id long, text string")).first()
     assert (row["by_triple"], row["by_pair"], row["by_word"]) == (0, 0, 4)
+
+
+def test_the_largest_id_is_kept(spark):
+    rows = scoring.scored(spark.createDataFrame([(2**63 - 1, "a b"), (None, "a b"), (-(2**63), "b")], "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"] is None, r["doc_id"] or 0) for r in rows)) == [(False, -(2**63)), (False, 2**63 - 1), (True, 0)]
