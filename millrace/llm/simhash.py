@@ -3,20 +3,27 @@
 Fingerprints are 64 bits: bit i is set if it is set in over half of the XXH64 values
 (seed 42) of a text's word shingles. Equal fingerprints are one node from then on.
 
-Links. Two fingerprints that differ in at most RADIUS bits agree exactly on all but
-RADIUS of the blocks that the 64 bits are cut into. `table_plan` takes as many blocks as
-the number of nodes asks for, so that a node meets a bounded expected number of others
-in a bucket, and each choice of blocks that may agree is one table. Within a bucket the
-pivot distance table decides: Hamming distances to PIVOTS reference fingerprints are
-computed once per node, rows are sorted by the first, a pair is discarded when any
-coordinate differs by more than RADIUS (the triangle inequality: no link is lost),
-and what survives is verified by its own distance. A bucket's links leave it as a
-spanning forest, so a bucket of n nodes gives n - 1 rows at most, however many of its
-pairs are links; the components are the same.
-
-A bucket holds distinct fingerprints only, so its size is bounded by how many 64-bit
-values agree on its key, not by how many copies a text has; buckets are worked through
-in blocks of rows, never as an n by n matrix.
+Links. The pivot distance table decides which pairs are looked at: the Hamming distances
+of every fingerprint to PIVOTS reference fingerprints. Two fingerprints within RADIUS bits
+have no coordinate that differs by more than RADIUS (the triangle inequality), so a pair
+with a larger difference in any is discarded and no link is lost; what survives is
+verified by its own distance. One coordinate keeps 57 of 100 pairs of unrelated
+fingerprints, all 32 of them almost none (`pair_counts` reports pairs met, surviving and
+linked).
+
+Rows are sorted by the first coordinate, but sorted lists alone would leave a number of
+pairs that grows with the square of the rows. A few coarse tables therefore deal rows out
+first: two fingerprints within RADIUS bits agree exactly on all but RADIUS of the blocks
+that the 64 bits are cut into, and each choice of blocks that may agree is one table.
+`table_plan` takes as few tables as leave a node CROWD others to meet in a bucket, if bits
+are spread evenly. Where they are not, a bucket of more than BUCKET_MOST nodes is dealt
+out again by finer tables, in another Spark round, so that no task holds a hot bucket; the
+finest tables leave 2 ** 16 values at most. A coordinate is one popcount: tasks fill the
+table for the rows that they were dealt instead of carrying it through the shuffle.
+
+A bucket's links leave it as a spanning forest, so a bucket of n nodes gives n - 1 rows at
+most, however many of its pairs are links; the components are the same. A bucket holds
+distinct fingerprints only, so its size has nothing to do with how many copies a text has.
 
 Components are found by rounds of star contraction over node links, each round stored in
 the shared folder; nothing of the graph goes to the driver but two counts.
@@ -39,18 +46,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import numbered, place_of, steps, stored, utf8, word_spans
+from millrace.llm.common import numbered, place_of, scrambled, steps, stored, utf8, word_spans
 
 SEED = 42
 #: Fingerprints link at this many differing bits or fewer.
 RADIUS = 4
-#: Reference fingerprints of a pivot distance table: fixed pseudo-random words.
-PIVOTS = 16
-#: Expected other nodes of a random bucket, at most.
-CROWD = 0.5
-#: Rows of a bucket that are compared with the rest of it at a time.
-PAIR_ROWS = 512
-#: Nodes of the pipeline's and op8's shingles.
+#: Reference fingerprints of a pivot distance table: fixed pseudo-random words. The first FEW discard before the rest.
+PIVOTS, FEW = 32, 8
+#: Other nodes that a node meets in a bucket of evenly spread bits, at most.
+CROWD = 32
+#: Nodes of a bucket that one task compares; larger buckets are dealt out again.
+BUCKET_MOST = 4096
+#: Blocks that 64 bits are cut into, at most.
+BLOCKS_MOST = 16
+#: Pairs that are looked at in one step.
+PAIRS_AT_ONCE = 1 << 20
+#: Words of the pipeline's and op8's shingles.
 SHINGLE = 4
 
 
@@ -102,112 +113,132 @@ def text_hashes(name: str = "text") -> tuple[Column, Column]:
     return F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")
 
 
-def table_plan(nodes: int, radius: int = RADIUS) -> list[list[tuple[int, int]]]:
-    """The tables for so many nodes: each the (shift, width) of the blocks that its key holds."""
-    for blocks in range(radius + 1, 17):
-        cuts = [64 * i // blocks for i in range(blocks + 1)]
-        key = blocks - radius
-        if nodes <= CROWD * 2 ** (64 * key / blocks) or blocks == 16:
-            return [[(cuts[b], cuts[b + 1] - cuts[b]) for b in chosen] for chosen in combinations(range(blocks), key)]
-    raise AssertionError
+def tables_of(blocks: int, radius: int = RADIUS) -> list[list[tuple[int, int]]]:
+    """The tables of 64 bits in so many blocks: each the (shift, width) of the blocks that its key holds."""
+    cuts = [64 * i // blocks for i in range(blocks + 1)]
+    return [[(cuts[b], cuts[b + 1] - cuts[b]) for b in chosen] for chosen in combinations(range(blocks), blocks - radius)]
+
+
+def table_plan(nodes: int, radius: int = RADIUS) -> int:
+    """The number of blocks for so many nodes."""
+    return next((b for b in range(radius + 1, BLOCKS_MOST) if nodes <= CROWD * 2 ** (64 * (b - radius) / b)), BLOCKS_MOST)
 
 
 def pivot_table(values: np.ndarray) -> np.ndarray:
     """Hamming distances of every value to the reference fingerprints."""
-    golden = (np.arange(1, PIVOTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(0xC2B2AE3D27D4EB4F)
+    golden = scrambled(np.arange(1, PIVOTS + 1, dtype=np.uint64))
     return np.bitwise_count(values[:, None] ^ golden[None, :]).astype(np.int8)
 
 
-def forest(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the links among distinct values."""
+def bucket_links(keys: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forest edges of all buckets, rows of equal keys, and how many pairs were met, survived the pivots and are links."""
     table = pivot_table(values)
-    order = np.argsort(table[:, 0], kind="stable")
-    values, table = values[order], table[order]
-    parent = list(range(len(values)))
+    order = np.lexsort((table[:, 0], keys))
+    keys, values, table = keys[order], values[order], table[order]
+    n = len(values)
+    bucket = np.concatenate([[0], np.cumsum(keys[1:] != keys[:-1])])
+    sizes = np.bincount(bucket)
+    counts = np.array([int((sizes * (sizes - 1) // 2).sum()), 0, 0])
+    # Of the rows behind a row in its bucket, the first `reach` are near enough in the first coordinate.
+    at = bucket * 256 + table[:, 0]
+    reach = np.searchsorted(at, at + radius, side="right") - 1 - np.arange(n)
+    parent, lefts, rights = np.arange(n), [], []
 
     def root(x: int) -> int:
         while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
+            x = int(parent[x])
         return x
 
-    left, right = [], []
-    reach = np.searchsorted(table[:, 0], table[:, 0] + radius, side="right")
-    for a in range(0, len(values), PAIR_ROWS):
-        b = min(a + PAIR_ROWS, len(values))
-        for c in range(a, int(reach[b - 1]), 8 * PAIR_ROWS):
-            d = min(c + 8 * PAIR_ROWS, int(reach[b - 1]))
-            near = np.ones((b - a, d - c), dtype=bool)
-            for p in range(PIVOTS):
-                near &= np.abs(table[a:b, p, None] - table[None, c:d, p]) <= radius
-            i, j = np.nonzero(near)
-            keep = i + a < j + c
-            i, j = i[keep] + a, j[keep] + c
-            true = np.bitwise_count(values[i] ^ values[j]) <= radius
-            for x, y in zip(i[true].tolist(), j[true].tolist(), strict=True):
-                rx, ry = root(x), root(y)
+    left = np.flatnonzero(reach > 0)
+    step = 1
+    while len(left):
+        for a in range(0, len(left), PAIRS_AT_ONCE):
+            i = left[a : a + PAIRS_AT_ONCE]
+            for some in (slice(1, FEW), slice(FEW, None)):
+                i = i[(np.abs(table[i, some] - table[i + step, some]) <= radius).all(axis=1)]
+            counts[1] += len(i)
+            i = i[np.bitwise_count(values[i] ^ values[i + step]) <= radius]
+            counts[2] += len(i)
+            i = i[parent[i] != parent[i + step]]  # every row's root, brought up to date after each step
+            for x in i.tolist():
+                rx, ry = root(x), root(x + step)
                 if rx != ry:
-                    parent[rx] = ry
-                    left.append(x)
-                    right.append(y)
-    return values[left], values[right]
-
-
-def bucket_links(keys: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Forest edges of all buckets; rows come sorted by key."""
-    change = np.flatnonzero(np.diff(keys)) + 1
-    first = np.concatenate([[0], change, [len(keys)]])
-    sizes = np.diff(first)
-    lefts, rights = [], []
-    # Most buckets that hold more than one node hold very few: those are compared by offset, all at once.
-    small = np.repeat((sizes > 1) & (sizes <= 16), sizes)
-    at = np.flatnonzero(small)
-    last = np.repeat(first[1:], sizes)
-    for step in range(1, 16):
-        i = at[at + step < last[at]]
-        if not len(i):
-            break
-        near = np.abs(pivot_table(values[i]) - pivot_table(values[i + step])).max(axis=1) <= radius
-        i = i[near]
-        i = i[np.bitwise_count(values[i] ^ values[i + step]) <= radius]
-        lefts.append(values[i])
-        rights.append(values[i + step])
-    for k in np.flatnonzero(sizes > 16).tolist():
-        x, y = forest(values[first[k] : first[k + 1]], radius)
-        lefts.append(x)
-        rights.append(y)
-    return np.concatenate([*lefts, np.zeros(0, np.uint64)]), np.concatenate([*rights, np.zeros(0, np.uint64)])
-
-
-def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b) between distinct fingerprints `fp`, thinned to a forest per bucket."""
-    plan = table_plan(nodes.count(), radius)
-
-    def block(shift: int, width: int):
-        return F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
-
-    keys = F.array(*[F.struct(F.lit(t).alias("t"), sum((block(s, w) * F.lit(1 << sum(x[1] for x in table[:i])) for i, (s, w) in enumerate(table)), F.lit(0).cast("long")).alias("k")) for t, table in enumerate(plan)])
-    tables = nodes.select("fp", F.explode(keys).alias("key")).select(F.xxhash64("key.t", "key.k").alias("key"), "fp")
-    dealt = tables.repartition("key").sortWithinPartitions("key")
+                    parent[max(rx, ry)] = min(rx, ry)
+                    lefts.append(x)
+                    rights.append(x + step)
+            while len(i):
+                above = parent[parent]
+                if (above == parent).all():
+                    break
+                parent = above
+        step += 1
+        left = left[reach[left] >= step]
+    return values[lefts], values[rights], counts
+
+
+def met(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Links (a, b) between distinct fingerprints `fp`, thinned to a forest per bucket; rows without a and b hold counts of pairs."""
+    blocks = table_plan(nodes.count(), radius)
+
+    def by_tables(rows: DataFrame) -> DataFrame:
+        """rows (fp) once for each table of `blocks`, keyed by the bits that the table looks at."""
+        masks = np.array([sum(((1 << w) - 1) << s for s, w in table) for table in tables_of(blocks, radius)], dtype=np.uint64).view(np.int64).tolist()
+        keys = F.transform(F.array(*map(F.lit, masks)), lambda m: F.xxhash64(m, F.col("fp").bitwiseAND(m)))
+        return rows.select("fp", F.explode(keys).alias("key")).select("key", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_k, kept_v = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # the last bucket so far: it may go on
 
-        def found(k: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-            a, b = bucket_links(k, v.view(np.uint64), radius)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        def found() -> pa.RecordBatch:
+            k, v = (np.concatenate(c) for c in zip(*held, strict=True))
+            a, b, counts = bucket_links(k, v.view(np.uint64), radius)
+            none = [None] * len(a)
+            columns = [[*a.view(np.int64).tolist(), None], [*b.view(np.int64).tolist(), None], *([*none, int(c)] for c in counts)]
+            return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=["a", "b", "met", "survived", "linked"])
 
         for batch in batches:
-            k = np.concatenate([kept_k, batch.column(0).to_numpy()])
-            v = np.concatenate([kept_v, batch.column(1).to_numpy()])
-            whole = int(np.searchsorted(k, k[-1], side="left")) if len(k) else 0  # the last bucket may go on
+            if not batch.num_rows:
+                continue
+            k, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if held and k[0] != held[-1][0][-1]:
+                yield found()
+                held.clear()
+            whole = int(np.searchsorted(k, k[-1], side="left"))
             if whole:
-                yield found(k[:whole], v[:whole])
-            kept_k, kept_v = k[whole:], v[whole:]
-        if len(kept_k):
-            yield found(kept_k, kept_v)
+                held.append((k[:whole], v[:whole]))
+                yield found()
+                held.clear()
+            held.append((k[whole:], v[whole:]))
+        if held:
+            yield found()
+
+    left, parts = nodes.select("fp"), []
+    while True:
+        rows = by_tables(left)
+        crowds = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET_MOST).select("key")
+        if blocks < BLOCKS_MOST:
+            crowds = stored(crowds, "simhash-crowds")
+        if blocks == BLOCKS_MOST or not crowds.limit(1).count():
+            parts.append(rows)
+            break
+        # Pairs of a crowded bucket meet in finer tables; both of their nodes are in `left`.
+        parts.append(rows.join(crowds, "key", "left_anti"))
+        left = stored(rows.join(crowds, "key", "left_semi").select("fp").distinct(), "simhash-crowded")
+        blocks = min(BLOCKS_MOST, blocks + 2)
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, met long, survived long, linked long")
+
+
+def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Links (a, b) between distinct fingerprints `fp`, enough of them for the components."""
+    return met(nodes, radius).where("a is not null").select("a", "b").distinct()
+
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+def pair_counts(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """How many pairs of a bucket were met, how many the pivots let through, and how many of those are links (a pair may meet in several tables)."""
+    return met(nodes, radius).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("met", "survived", "linked")])
 
 
 def components(edges: DataFrame, label: str = "links") -> DataFrame:

@@ -81,6 +81,45 @@ def test_links_among_dense_and_spread_values(spark):
     assert {v: roots.get(v, v) for v in values} == expected
 
 
+def test_buckets_that_hold_too_many_are_dealt_out_again(spark, monkeypatch):
+    """Fingerprints that agree on all their low bits share buckets; finer tables part them and lose no link."""
+    monkeypatch.setattr(simhash, "BUCKET_MOST", 100)
+    r = np.random.default_rng(7)
+    values = sorted({int(x) << 45 | 0x155 for x in r.integers(0, 2**18, 300)} | {int(x) for x in r.integers(0, 2**63, 100, dtype=np.int64)})
+    nodes = spark.createDataFrame([(v,) for v in values], "fp long")
+    roots = {x["node"]: x["root"] for x in simhash.components(simhash.links(nodes)).collect()}
+    low = {v: values[g] for v, g in zip(values, plain_components(values))}
+    assert {v: roots.get(v, v) for v in values} == low
+
+
+def test_pivots_discard_unrelated_pairs(spark):
+    r = np.random.default_rng(3)
+    values = [int(x) for x in np.unique(r.integers(-(2**63), 2**63, 20_000, dtype=np.int64))]
+    near = [v ^ 1 for v in values[:50]]
+    row = simhash.pair_counts(spark.createDataFrame([(v,) for v in {*values, *near}], "fp long")).first()
+    assert row["met"] > 100_000 and row["linked"] >= 50 and row["survived"] - row["linked"] < row["met"] / 1000
+
+
+def test_bucket_links_are_those_of_all_pairs():
+    r = np.random.default_rng(4)
+    for n in (1, 2, 30, 200):
+        values = np.unique(np.concatenate([r.integers(0, 2**63, n).astype(np.uint64), (r.integers(0, 2**63, 3).astype(np.uint64)[:, None] ^ (np.uint64(1) << r.integers(0, 63, (3, n // 3 + 1)).astype(np.uint64))).reshape(-1)]))
+        keys = r.integers(0, 3, len(values))
+        a, b, counts = simhash.bucket_links(keys, values, 4)
+        links = [(i, j) for i in range(len(values)) for j in range(i) if keys[i] == keys[j] and int(values[i] ^ values[j]).bit_count() <= 4]
+        assert counts[2] == len(links) and counts[1] >= counts[2] and counts[0] == sum(int(c) * (int(c) - 1) // 2 for c in np.bincount(keys))
+
+        def groups(edges) -> set:
+            part = {int(v): {int(v)} for v in values}
+            for x, y in edges:
+                joined = part[x] | part[y]
+                for v in joined:
+                    part[v] = joined
+            return {frozenset(p) for p in part.values()}
+
+        assert groups(zip(a.tolist(), b.tolist())) == groups((int(values[i]), int(values[j])) for i, j in links) and len(a) == len(values) - len(groups(zip(a.tolist(), b.tolist())))
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.integers(1, 2**40), st.integers(0, 2**64 - 1), st.sets(st.integers(0, 63), max_size=4))
 def test_every_pair_within_the_radius_shares_a_table_key(nodes, value, flipped):
@@ -88,7 +127,7 @@ def test_every_pair_within_the_radius_shares_a_table_key(nodes, value, flipped):
     for b in flipped:
         other ^= 1 << b
     key = lambda v, table: tuple(v >> s & ((1 << w) - 1) for s, w in table)
-    assert any(key(value, t) == key(other, t) for t in simhash.table_plan(nodes))
+    assert any(key(value, t) == key(other, t) for t in simhash.tables_of(simhash.table_plan(nodes)))
 
 
 def test_a_chain_is_one_component(spark):
