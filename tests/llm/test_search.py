@@ -33,12 +33,52 @@ def test_few_candidates_large_values_and_empty(spark):
     assert search.top_k(none, none).count() == 0
 
 
-def test_pivots_skip_work_and_lose_nothing():
+def ranks(df) -> list[tuple]:
+    return sorted((x["query_id"], x["rank"], x["vec_id"], x["score"]) for x in df.collect())
+
+
+def test_pivots_skip_work_and_lose_nothing(spark):
+    """Rows in groups: most candidates of other groups are never evaluated. Blocks, places and waves change nothing."""
     r = np.random.default_rng(4)
-    x = np.concatenate([r.normal(c, 20, (600, 16)) for c in (-900, 0, 900)]).astype(np.int64)
-    ids = r.permutation(len(x)).astype(np.int64)
-    for i, found, scores in search.best(x[:20], ids[:20], x, ids):
-        exact = x @ x[i]
-        order = np.lexsort((ids, -exact))
-        order = order[ids[order] != ids[i]][:10]
-        assert found.tolist() == ids[order].tolist() and scores.tolist() == exact[order].tolist()
+    x = np.concatenate([r.normal(c, 20, (600, 16)) for c in (-900, 300, 900)]).astype(np.int64)
+    ids = r.permutation(len(x))
+    vectors = spark.createDataFrame([(int(i), [int(c) for c in v]) for i, v in zip(ids, x)], "vec_id long, vector array<long>").repartition(3)
+    queries = vectors.where("vec_id % 100 = 0")
+    want = plain({int(i): v.tolist() for i, v in zip(ids, x)})
+    row = search.evaluated_share(queries, vectors, seeds=300).first()
+    assert row["met"] == 18 * 1800 and row["evaluated"] < row["met"] / 2
+    assert ranks(search.top_k(queries, vectors, seeds=300)) == want
+    assert ranks(search.top_k(queries, vectors, pivots=3, seeds=5)) == want
+
+
+def test_places_and_waves(spark, monkeypatch):
+    for name, value in (("QUERY_ROWS", 3), ("CANDIDATE_ROWS", 17), ("PLACE_ROWS", 40), ("WAVE_QUERIES", 4), ("CHUNK", 2)):
+        monkeypatch.setattr(search, name, value)
+    r = np.random.default_rng(5)
+    rows = {i * 50: r.integers(-9, 10, 5).tolist() for i in range(60)} | {i * 50 + 1: r.integers(-9, 10, 3).tolist() for i in range(20)}
+    vectors = spark.createDataFrame(list(rows.items()), "vec_id long, vector array<long>").repartition(4)
+    assert ranks(search.top_k(vectors.where("vec_id % 100 = 0"), vectors, seeds=15)) == plain(rows)
+
+
+def test_repeated_rows_and_other_columns(spark, tmp_path):
+    """Rows that share an id are each a query and a candidate of the other; a row misses itself alone."""
+    rows = [(100, [1.0, 0.0], "x"), (100, [1.0, 0.0], "y"), (100, [0.0, 2.0], "z"), (7, [3.0, 1.0], None), (200, None, "n"), (None, [1.0, 1.0], "i")]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, row string").repartition(2).write.parquet(f"{tmp_path}/embeddings.parquet")
+    k = 1024 * 1024
+    assert ranks(search.op6_search(spark, str(tmp_path))) == sorted([(100, 1, 7, 3 * k), (100, 2, 100, k), (100, 3, 100, 0)] * 2 + [(100, 1, 7, 2 * k), (100, 2, 100, 0), (100, 3, 100, 0)])
+
+
+def test_bounds_are_on_the_safe_side():
+    """With few pivots, far away, and long vectors, where distances are rounded most."""
+    r = np.random.default_rng(6)
+    for scale, far in ((1, 0), (1000, 10**6), (10, 10**9)):
+        x = r.integers(-9, 10, (400, 6)) * scale + far
+        seeds = search.Seeds(np.arange(3), np.arange(3), x[:3] - far, 3)
+        row = {"rows": np.arange(400).tobytes(), "ids": np.arange(400).tobytes(), "data": x.astype("<i8").tobytes(), "width": 8, "dim": 6}
+        held = search.Held(row | {"extra": seeds.distances(x).tobytes()})
+        s = search.Search(row | {"extra": np.full(400, search.LEAST).tobytes()}, seeds, 10)
+        for i in range(0, 400, 7):
+            apart = np.zeros(400, dtype=np.float32)
+            for p in range(3):
+                np.maximum(apart, np.abs(held.table[p] - s.mine[i, p]) - s.slack[i, p], out=apart)
+            assert (s.most(i, apart, held.squares) >= (x.astype(object) @ x[i].astype(object)).astype(np.float64)).all()
