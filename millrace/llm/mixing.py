@@ -7,14 +7,19 @@ source's budget of words is spent. A budget over the source's size takes every
 document once per complete epoch first; only the rest is selected by key.
 
 A source may hold a third of all rows, so no source is sorted in one task. The keys
-map monotonically onto KEY_BUCKETS slices of (0, 1); sums per (source, slice) give
-each slice its offset, and rows are sorted within their slice alone.
+map monotonically onto slices of (0, 1), KEY_BUCKETS of them or more, so that a slice
+holds SLICE_ROWS rows at most on average; sums per (source, slice) give each slice its
+offset, and rows are sorted within their slice alone. What is sorted are ids, keys and
+sizes. From them every source gets its number of epochs and the row on which its budget
+ends: `mix` reads the texts once more, compares each row's key with that of its source's
+last row, and never shuffles a text.
 
 Defined cases. Null text: size 0, never taken. Null source: a source of its own, last
 in the order. Null doc_id: hashed as the empty string. Repeated rows: each counts and
-is taken on its own; ties of keys go by doc_id, then by the text's hash. Empty table:
-no rows. Other columns, whatever their names, are carried along untouched; the
-operator's own working columns start with ``_mix_``.
+is taken on its own (only where a budget ends within rows of equal id and text are
+those numbered, in one task a source); ties of keys go by doc_id, then by the text's
+hash. Empty table: no rows. `mix` carries other columns, whatever their names, along
+untouched; what `sized` and `allocate` add starts with ``_mix_``.
 """
 
 from __future__ import annotations
@@ -22,10 +27,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD, stored
+from millrace.llm.common import WORD, numbered, place_of, stored
 
-#: Slices of the key space per source.
-KEY_BUCKETS = 1024
+#: Slices of the key space per source, at least, and the rows of a slice, about.
+KEY_BUCKETS, SLICE_ROWS = 1024, 1 << 16
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 #: All targets together, as a share of all sizes.
@@ -48,14 +53,19 @@ def quality_of(text: Column) -> Column:
     return F.when(n > 0, F.lit(1.0) - F.lit(0.95) * odd / n).otherwise(F.lit(1.0))
 
 
-def sized(docs: DataFrame) -> DataFrame:
+def slices_for(rows: int) -> int:
+    """Slices for a table of so many rows, all of which may be of one source."""
+    return max(KEY_BUCKETS, rows // SLICE_ROWS)
+
+
+def sized(docs: DataFrame, slices: int = KEY_BUCKETS) -> DataFrame:
     """docs with the size, the sampling key and the key's slice of every row."""
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     u = (F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), name)), 1, 12), 16, 10).cast("double") + 0.5) / float(2**48)
     return (
         docs.withColumn("_mix_size", size_of(F.col("text")))
         .withColumn("_mix_key", -F.log(u) / quality_of(F.col("text")))
-        .withColumn("_mix_slice", F.least(F.floor((F.lit(1.0) - F.exp(-F.col("_mix_key"))) * KEY_BUCKETS), F.lit(KEY_BUCKETS - 1)).cast("int"))
+        .withColumn("_mix_slice", F.least(F.floor((F.lit(1.0) - F.exp(-F.col("_mix_key"))) * slices), F.lit(slices - 1)).cast("int"))
         .withColumn("_mix_tie", F.xxhash64("text"))
     )
 
@@ -93,7 +103,7 @@ def allocate(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     offsets = slices.withColumn("_mix_offset", F.coalesce(F.sum("_mix_sum").over(before), F.lit(0))).drop("_mix_sum")
     plan = offsets.withColumnRenamed("_mix_source", "_mix_s").join(goals, F.col("_mix_s").eqNullSafe(F.col("_mix_source"))).drop("_mix_s").withColumnRenamed("_mix_slice", "_mix_of")
     inner = Window.partitionBy("source", "_mix_slice").orderBy("_mix_key", F.col("doc_id").asc_nulls_last(), "_mix_tie", "_mix_size").rowsBetween(Window.unboundedPreceding, -1)
-    # At most KEY_BUCKETS rows a source: small beside the documents, but never assumed to fit a broadcast.
+    # A row for each source and slice: small beside the documents, but never assumed to fit a broadcast.
     joined = rows.withColumn("_mix_inner", F.coalesce(F.sum("_mix_size").over(inner), F.lit(0))).join(
         plan, rows["source"].eqNullSafe(F.col("_mix_source")) & (F.col("_mix_slice") == F.col("_mix_of"))
     )
@@ -103,26 +113,73 @@ def allocate(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return joined.withColumn("_mix_epochs", whole).withColumn("_mix_part", part).withColumn("_mix_taken", F.col("_mix_epochs") * F.col("_mix_size") + F.col("_mix_part"))
 
 
+def slim(docs: DataFrame) -> DataFrame:
+    """Ids, sources, sizes and keys of docs, stored: what is allocated, without the texts."""
+    rows = sized(docs, slices_for(docs.count()))
+    return stored(rows.select("doc_id", "source", *[c for c in rows.columns if c.startswith("_mix_")]), "mix-sizes")
+
+
+def _place() -> Column:
+    """A row's place in its source's order, as a struct that compares."""
+    return F.struct(F.col("_mix_key").alias("key"), F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("_mix_tie").alias("tie"))
+
+
+def ends(taken: DataFrame) -> DataFrame:
+    """Per source: its epochs, the last row that the rest of its budget takes (null: none), that row's part, and how many rows equal it."""
+    last = taken.groupBy(F.col("source").alias("_mix_s")).agg(F.first("_mix_epochs").alias("_mix_epochs"), F.max(F.when(F.col("_mix_part") > 0, _place())).alias("_mix_last"))
+    equal = taken.select("source", _place().alias("_mix_place"), "_mix_part").join(last.select("_mix_s", "_mix_last"), F.col("source").eqNullSafe(F.col("_mix_s")) & (F.col("_mix_place") == F.col("_mix_last")))
+    parts = equal.groupBy(F.col("source").alias("_mix_p")).agg(F.sum("_mix_part").alias("_mix_sum"), F.count(F.lit(1)).alias("_mix_times"))
+    return last.join(parts, F.col("_mix_s").eqNullSafe(F.col("_mix_p")), "left").drop("_mix_p")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS) -> DataFrame:
     """The mixed documents: a row for each time that a document is taken, with the columns of docs.
 
     The one document of a source on which its budget ends keeps its first words only;
     its n_chars, where there is such a column, follows its text.
     """
-    taken = allocate(sized(docs), weights, share, most)
-    copies = taken.where("_mix_taken > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_epochs") + (F.col("_mix_part") > 0).cast("long"))))
+    plain = numbered(docs)
+    column = {n: F.col(f"c{place_of(docs, n)}") for n in ("text", "doc_id", "source")}
+    named = plain.select("*", *[c.alias(n) for n, c in column.items()])
+    taken = stored(allocate(slim(named.select(*column)), weights, share, most).drop("_mix_slice", "_mix_source"), "mix-taken")
+    bounds = stored(ends(taken), "mix-ends")
+    # One row a source; Catalyst broadcasts it while it is small.
+    rows = sized(named).drop("_mix_slice").join(bounds, F.col("source").eqNullSafe(F.col("_mix_s"))).withColumn("_mix_place", _place())
+    # Copies of the row on which the budget ends: whole ones first, then the cut one.
+    equal = F.coalesce(F.col("_mix_place")["id"].eqNullSafe(F.col("_mix_last")["id"]) & F.col("_mix_place")["tie"].eqNullSafe(F.col("_mix_last")["tie"]) & F.col("_mix_last").isNotNull(), F.lit(False))
+    before = F.coalesce(F.col("_mix_place") < F.col("_mix_last"), F.lit(False))
+    rows = rows.withColumn("_mix_equal", equal)
+    if bounds.where("_mix_times > 1").isEmpty():
+        rows = rows.withColumn("_mix_nth", F.lit(1))
+    else:
+        nth = F.row_number().over(Window.partitionBy("_mix_s").orderBy(F.lit(0)))
+        rows = rows.where("not _mix_equal").withColumn("_mix_nth", F.lit(1)).unionByName(rows.where("_mix_equal").withColumn("_mix_nth", nth))
+    rest = F.greatest(F.lit(0), F.least(F.col("_mix_size"), F.col("_mix_sum") - (F.col("_mix_nth") - 1) * F.col("_mix_size")))
+    part = F.when(F.col("_mix_equal"), rest).when(before, F.col("_mix_size")).otherwise(F.lit(0)).cast("long")
+    copies = (
+        rows.where("_mix_size > 0")
+        .withColumn("_mix_part", part)
+        .withColumn("_mix_times", F.col("_mix_epochs") + (F.col("_mix_part") > 0).cast("long"))
+        .where("_mix_times > 0")
+        .withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_times"))))
+    )
     cut = (F.col("_mix_copy") > F.col("_mix_epochs")) & (F.col("_mix_part") < F.col("_mix_size"))
     words = F.regexp_extract_all("text", F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), F.lit(1))
-    copies = copies.withColumn("text", F.when(cut, F.array_join(F.slice(words, F.lit(1), F.col("_mix_part").cast("int")), "")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        copies = copies.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return copies.select(*docs.columns)
+    left = F.when(cut, F.array_join(F.slice(words, F.lit(1), F.col("_mix_part").cast("int")), "")).otherwise(F.col("text"))
+    copies = copies.withColumn("_mix_text", left)
+    out = []
+    for i in range(len(docs.columns)):
+        if i == place_of(docs, "text"):
+            out.append(F.col("_mix_text").alias(f"c{i}"))
+        elif i == place_of(docs, "n_chars"):
+            out.append(F.when(cut, F.length("_mix_text")).otherwise(F.col(f"c{i}")).cast(plain.schema[i].dataType).alias(f"c{i}"))
+        else:
+            out.append(F.col(f"c{i}"))
+    return copies.select(*out).toDF(*docs.columns)
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = stored(sized(docs).select("doc_id", "source", *[c for c in sized(docs).columns if c.startswith("_mix_")]), "mix-sizes")
-    return allocate(rows).select(
+    return allocate(slim(spark.read.parquet(f"{sf_dir}/documents.parquet"))).select(
         "doc_id",
         F.col("_mix_size").alias("size"),
         F.col("_mix_source_size").alias("source_size"),

@@ -65,3 +65,30 @@ def test_heavier_documents_come_earlier(spark):
     share = found.where("source = 's'").groupBy((F.col("doc_id") % 2).alias("odd")).agg(F.avg((F.col("_mix_taken") > 0).cast("int")).alias("p")).collect()
     by = {r["odd"]: r["p"] for r in share}
     assert by[1] > by[0]
+
+
+def test_clashing_and_awkward_column_names(spark):
+    rows = [(i, f"w{i} " * (i % 7 + 1), "ab"[i % 2], 111, 5, "x", "y", 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _mix_size int, `a.b` int, c0 string, _mix_times string, n_chars int")
+    made = mixing.mix(df)
+    assert made.columns == df.columns
+    by_id = {r[0]: r for r in rows}
+    found = made.collect()
+    assert found and all(tuple(r)[3:7] == by_id[r["doc_id"]][3:7] and by_id[r["doc_id"]][1].startswith(r["text"]) for r in found)
+
+
+def test_budgets_that_end_within_repeated_rows(spark):
+    """Copies of one row, in id and text: whole ones, then a cut one, whatever their other columns."""
+    rows = [(1, "a b c d e", "s", i) for i in range(9)] + [(i, "x " * 30, "t", 0) for i in range(2, 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, other int").repartition(3)
+    for share in (0.02, 0.03, 0.05, 1.5):
+        plan = {(r["source"], r["words"]) for r in mixing.allocate(mixing.sized(df), share=share).groupBy("source").agg(F.sum("_mix_taken").alias("words")).collect()}
+        made = mixing.mix(df, share=share).withColumn("n", mixing.size_of(F.col("text"))).groupBy("source").agg(F.sum("n").alias("words")).collect()
+        assert {(r["source"], r["words"]) for r in made} == {p for p in plan if p[1]}
+
+
+def test_slices_change_nothing(awkward, monkeypatch):
+    want = sorted((str(r["doc_id"]), r["_mix_tie"], r["_mix_taken"]) for r in mixing.allocate(mixing.sized(awkward)).collect())
+    for slices in (1, 7, 100_000):
+        assert want == sorted((str(r["doc_id"]), r["_mix_tie"], r["_mix_taken"]) for r in mixing.allocate(mixing.sized(awkward, slices)).collect())
+    assert mixing.slices_for(10) == mixing.KEY_BUCKETS and mixing.slices_for(10**9) == 10**9 // mixing.SLICE_ROWS
