@@ -9,16 +9,21 @@ lengths; likeness is 1 less that sum over what unrelated codes would give, from
 
 Neighbours in the order of doc_id meet without a global sort in one task: ranges of
 doc_id, cut at approximate quantiles, are sorted apart, and the first row of each range
-is also dealt to the range before it. Texts are shuffled once.
+is also dealt to the range before it. Texts are shuffled once. Rows of one doc_id, or of
+none, are in the order of their texts' XXH64, so that an id which is several quantiles at
+once, and the null ids, are cut into ranges of that hash.
 
 Defined cases. Null or empty text: no triplets, all codes 0, length 0; two such are alike
-at 1.0. Null doc_id: after all others, by text. Repeated doc_id: by text. A single row is
-its own next. Empty table: no rows. Other columns are ignored.
+at 1.0. Null doc_id: after all others. Null or repeated doc_ids among themselves: by the
+text's XXH64, then by text. A single row is its own next. Long texts are counted whole, in
+parts. Empty table: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +40,7 @@ LENGTH_STEPS, LENGTH_MOST = 8, 32
 #: Bytes of text that are counted at a time.
 PART_BYTES = 1 << 20
 #: Rows of a doc_id range, about, and ranges at most.
-RANGE_ROWS, RANGES_MOST = 4096, 4096
+RANGE_ROWS, RANGES_MOST = 4096, 1 << 16
 
 
 def codes(texts: list[bytes]) -> np.ndarray:
@@ -47,23 +52,50 @@ def codes(texts: list[bytes]) -> np.ndarray:
         while to < len(texts) and (to == at or size + len(texts[to]) <= PART_BYTES):
             size += len(texts[to])
             to += 1
+        if size > PART_BYTES:  # one long text
+            counts, lengths = long_counts(texts[at])[None, :], np.array([size])
+            out[at:to] = coded(counts, lengths)
+            at = to
+            continue
         part = texts[at:to]
         data = np.frombuffer(b"\0\0".join(part) + b"\0\0", dtype=np.uint8).astype(np.uint32)
         lengths = np.array([len(t) for t in part])
         keep = np.ones(len(data), dtype=bool)
         closing = np.cumsum(lengths + 2)
         keep[closing - 1] = keep[closing - 2] = False
-        triplet = (data[:-2] << 16 | data[1:-1] << 8 | data[2:])[keep[:-2]]
-        bucket = (triplet * np.uint32(2654435761)) >> np.uint32(32 - 9)
+        bucket = buckets(data)[keep[:-2]]
         doc = np.repeat(np.arange(len(part)), lengths)
         counts = np.bincount(doc * BUCKETS + bucket, minlength=len(part) * BUCKETS).reshape(len(part), BUCKETS)
-        ranks = np.partition(counts, [BUCKETS // 4, BUCKETS // 2, 3 * BUCKETS // 4], axis=1)
-        out[at:to, 1:] = sum((counts > ranks[:, k, None]).astype(np.uint8) for k in (BUCKETS // 4, BUCKETS // 2, 3 * BUCKETS // 4))
-        out[at:to, 0] = np.minimum(255, np.rint(LENGTH_STEPS * np.log2(lengths + 1.0)))
+        out[at:to] = coded(counts, lengths)
         at = to
     return out
 
 
+def buckets(data: np.ndarray) -> np.ndarray:
+    """The counter of the triplet that each byte but the last two starts."""
+    triplet = data[:-2] << 16 | data[1:-1] << 8 | data[2:]
+    return (triplet * np.uint32(2654435761)) >> np.uint32(32 - 9)
+
+
+def long_counts(text: bytes) -> np.ndarray:
+    """The counters of one text, PART_BYTES at a time."""
+    counts = np.zeros(BUCKETS, dtype=np.int64)
+    for at in range(0, len(text), PART_BYTES):
+        part = text[at : at + PART_BYTES + 2]
+        part += b"\0" * (min(PART_BYTES, len(text) - at) + 2 - len(part))
+        counts += np.bincount(buckets(np.frombuffer(part, dtype=np.uint8).astype(np.uint32)), minlength=BUCKETS)
+    return counts
+
+
+def coded(counts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A length byte and BUCKETS codes for each row of counters."""
+    quartiles = (BUCKETS // 4, BUCKETS // 2, 3 * BUCKETS // 4)
+    ranks = np.partition(counts, quartiles, axis=1)
+    codes_ = sum((counts > ranks[:, k, None]).astype(np.uint8) for k in quartiles)
+    length = np.minimum(255, np.rint(LENGTH_STEPS * np.log2(lengths + 1.0))).astype(np.uint8)
+    return np.concatenate([length[:, None], codes_], axis=1)
+
+
 def text_of(coded: np.ndarray) -> list[str]:
     """Codes as hexadecimal digests."""
     four = coded[:, 1:].reshape(len(coded), BUCKETS // 4, 4)
@@ -88,26 +120,49 @@ def likeness_of(a: str, b: str) -> float:
     return float(likeness(opened(a), opened(b))[0])
 
 
+def ranged(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, h, text) with `range`, numbered in the order of falling doc_id, then rising h."""
+    spark = rows.sparkSession
+    known, every = rows.agg(F.count("doc_id"), F.count(F.lit(1))).first()
+    n, n_null = (int(min(RANGES_MOST, k // RANGE_ROWS + 1)) for k in (known, every - known))
+    cuts = rows.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
+    # Doubles tell whole numbers apart up to 2 ** 53; beyond, neighbouring ids may share one and stay in one range.
+    often = {c: k for c, k in Counter(cuts).items() if k > 1 and abs(c) < 2**53}
+    inner = sorted({*cuts, *(math.nextafter(c, math.inf) for c in often)})
+    splits = [-math.inf, *inner, math.inf]
+    table, start = [], 0
+    for bucket in range(len(splits) - 2, -1, -1):
+        parts = often.get(splits[bucket], 1)
+        table.append((bucket, start, parts))
+        start += parts
+    table.append((-1, start, n_null))
+    at = F.col("doc_id").cast("double")
+    if inner:
+        cut = Bucketizer(splits=splits, inputCol="at", outputCol="bucket", handleInvalid="keep")
+        rows = cut.transform(rows.withColumn("at", F.coalesce(at, F.lit(0.0)))).withColumn("bucket", F.col("bucket").cast("int")).drop("at")
+    else:
+        rows = rows.withColumn("bucket", F.lit(0))
+    rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.col("bucket")))
+    share = (F.col("h").cast("double") + float(2**63)) / float(2**64)
+    part = F.least(F.floor(share * F.col("parts")), F.col("parts") - 1)
+    # Two rows a range at most, RANGES_MOST * 2 + 2 in all: numbers, never texts.
+    return rows.join(F.broadcast(spark.createDataFrame(table, "bucket int, start long, parts long")), "bucket").withColumn("range", (F.col("start") + part).cast("int")).drop("bucket", "start", "parts")
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id and text, dealt by range in descending doc_id, each range closed by the row that follows it (tail = 1)."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ranges = int(min(RANGES_MOST, rows.count() // RANGE_ROWS + 1))
-    cuts = sorted(set(rows.where("doc_id is not null").approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
-    if cuts:
-        cut = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="at", outputCol="range", handleInvalid="keep")
-        rows = cut.transform(rows.withColumn("at", F.coalesce(F.col("doc_id").cast("double"), F.lit(0.0)))).withColumn("range", F.lit(len(cuts)) - F.col("range").cast("int")).drop("at")
-    else:
-        rows = rows.withColumn("range", F.lit(0))
-    rows = rows.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.col("range")))
-    # One row a range, RANGES_MOST + 1 at most: ids, never texts.
-    heads = sorted((int(r["range"]), r["head"]) for r in rows.groupBy("range").agg(F.max("doc_id").alias("head")).collect())
-    tails = [(heads[i - 1][0], r, h) for i, (r, h) in enumerate(heads)]
-    table = spark.createDataFrame(tails, "to int, of int, head long")
-    closing = rows.join(F.broadcast(table), (F.col("range") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("head")))
-    closing = closing.groupBy("to", "doc_id").agg(F.min("text").alias("text")).select(F.col("to").alias("range"), F.lit(1).alias("tail"), "doc_id", "text")
-    dealt = rows.select("range", F.lit(0).alias("tail"), "doc_id", "text").unionByName(closing)
-    return dealt.repartition("range").sortWithinPartitions("range", "tail", F.col("doc_id").desc_nulls_last(), "text")
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = ranged(rows)
+    # The first row of each range: the largest id, then the least hash. One row a range.
+    first = F.max(F.struct(F.col("doc_id"), F.bitwise_not("h").alias("not_h"))).alias("first")
+    heads = sorted((int(r["range"]), r["first"]["doc_id"], ~r["first"]["not_h"]) for r in rows.groupBy("range").agg(first).collect())
+    tails = [(heads[i - 1][0], *head) for i, head in enumerate(heads)]
+    table = spark.createDataFrame(tails, "to int, of int, head long, head_h long")
+    closing = rows.join(F.broadcast(table), (F.col("range") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("h") == F.col("head_h")))
+    closing = closing.groupBy("to", "doc_id", "h").agg(F.min("text").alias("text")).select(F.col("to").alias("range"), F.lit(1).alias("tail"), "doc_id", "h", "text")
+    dealt = rows.select("range", F.lit(0).alias("tail"), "doc_id", "h", "text").unionByName(closing)
+    return dealt.repartition("range").sortWithinPartitions("range", "tail", F.col("doc_id").desc_nulls_last(), "h", "text").drop("h")
 
 
 FINGERPRINTS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
