@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import scrambled, window_names, word_names, word_spans
+from millrace.llm.common import WORD, scrambled, steps, stored, utf8, window_names, word_names, word_spans
 from millrace.llm.exchange import ASK_SCHEMA, BLOCK_BYTES, BUCKET_NAMES, Block, answered, asked, bits_for, blocks, with_answers
 
 ORDER = 3
@@ -166,6 +166,58 @@ def scored(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_names: int =
     return with_answers(table, both, score, "doc_id long, n_words long, by_triple long, by_pair long, by_word long, mean_log_score double", n_blocks, tagged=True)
 
 
+def scored_by_rows(docs: DataFrame) -> DataFrame:
+    """The same as scored(), with every n-gram a row: count tables by groupBy, joined to the exploded n-grams, summed per document.
+
+    Rows are aggregated per document before they travel. Three rows a word cross the
+    network twice, so this takes several times the disk of scored(); README has figures.
+    """
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "scoring-rows")
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "text"):
+            data, offsets = utf8(batch.column(1))
+            starts, ends, counts = word_spans(data, offsets)
+            names, ids = word_names(data, starts, ends), batch.column(0).to_numpy()
+            doc = np.repeat(np.arange(len(counts)), counts)
+            for k in (1, 2, 3):
+                grams, at = window_names(names, counts, k, salt=10 + k)
+                pairs, own = np.unique(np.stack([doc[at].astype(np.uint64), grams]), axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[pairs[0].astype(np.int64)]), pa.array(pairs[1].view(np.int64)), pa.array(own.astype(np.int64))], names=["row", "gram", "own"])
+
+    grams = rows.select("row", "text").mapInArrow(explode, "row long, gram long, own long")
+    totals = grams.groupBy("gram").agg(F.sum("own").alias("total"))
+    left = grams.join(totals, "gram").select("row", "gram", (F.col("total") - F.col("own")).alias("left"))
+    found = left.groupBy("row").agg(F.collect_list(F.struct("gram", "left")).alias("grams"))
+    words = rows.select(F.coalesce(F.sum(F.regexp_count("text", F.lit(WORD))), F.lit(0))).first()[0]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, "text"):
+            out = []
+            for doc_id, text, grams in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                data = np.frombuffer((text or "").encode(), dtype=np.uint8)
+                starts, ends, counts = word_spans(data, np.array([0, len(data)]))
+                names, c = word_names(data, starts, ends), {g["gram"]: g["left"] for g in grams or ()}
+                one, two, three = ([c[g] for g in window_names(names, counts, k, salt=10 + k)[0].view(np.int64).tolist()] for k in (1, 2, 3))
+                n, used, logs = len(names), [0, 0, 0], 0.0
+                for i in range(n):
+                    if i >= 2 and three[i - 2] > 0:
+                        used[0] += 1
+                        logs += np.log(three[i - 2] / two[i - 2])
+                    elif i >= 1 and two[i - 1] > 0:
+                        used[1] += 1
+                        logs += np.log(two[i - 1] / one[i - 1]) + (i >= 2) * np.log(BACKOFF)
+                    else:
+                        used[2] += 1
+                        logs += np.log(max(one[i], 0.5) / max(words - n, 1)) + min(i, 2) * np.log(BACKOFF)
+                out.append((doc_id, n, *used, logs / n if n else None))
+            kinds = [*[pa.int64()] * 5, pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n_words", "by_triple", "by_pair", "by_word", "mean_log_score"])
+
+    joined = rows.join(found, "row", "left").select("doc_id", "text", "grams")
+    return joined.mapInArrow(score, "doc_id long, n_words long, by_triple long, by_pair long, by_word long, mean_log_score double")
+
+
 def op9_scoring(spark, sf_dir: str) -> DataFrame:
     found = scored(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.withColumn("mean_log_score", F.round("mean_log_score", 6))

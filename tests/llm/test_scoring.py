@@ -37,7 +37,9 @@ def test_awkward_documents(awkward, empty):
     expected = plain(rows)
     assert [r[:6] for r in got] == [r[:6] for r in expected]
     assert [r[6] for r in got] == [pytest.approx(r[6]) if r[6] is not None else None for r in expected]
-    assert scoring.scored(empty).count() == 0
+    by_rows = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["n_words"], r["by_triple"], r["by_pair"], r["by_word"]) for r in scoring.scored_by_rows(awkward).collect()), key=lambda r: r[:3])
+    assert by_rows == [r[:6] for r in expected]
+    assert scoring.scored(empty).count() == 0 and scoring.scored_by_rows(empty).count() == 0
 
 
 def test_a_single_document(spark):
