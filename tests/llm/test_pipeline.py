@@ -1,8 +1,11 @@
+import re
+import zlib
+from collections import Counter
 from pathlib import Path
 
 import corpus_pipeline
+import numpy as np
 import public_tokenizers
-import re
 from tokenizers import Tokenizer
 
 from millrace.llm import pii, simhash, toxicity
@@ -55,6 +58,52 @@ def test_stages_and_run_agree_with_plain_python(spark, tmp_path):
     assert sum(r["length"] for r in packed) == sum(n for _, n in want)
 
 
+def rebuilt(rows: list) -> dict:
+    """The ids of every sequence, put together from its pieces by offset."""
+    sequences: dict = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        ids = np.frombuffer(r["ids"], dtype="<u4").tolist()
+        assert len(ids) == r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"]
+        assert r["offset"] == len(sequences.setdefault(r["sequence_id"], []))
+        sequences[r["sequence_id"]] += ids
+    return sequences
+
+
+def test_sequences_can_be_rebuilt(spark, tmp_path):
+    docs, ids = spark.read.parquet(f"{SF}/documents.parquet"), Counter()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, SF).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rows = corpus_pipeline.pack_sequences(spark, docs, SF).collect()
+    for r in docs.collect():
+        ids.update([*tokenizer.encode(r["text"], add_special_tokens=False).ids, 1])
+    sequences = rebuilt(rows)
+    assert all(0 < len(s) <= 2048 for s in sequences.values()) and sorted(sequences) == list(range(len(sequences)))
+    assert Counter(i for s in sequences.values() for i in s) == ids
+    assert rebuilt(corpus_pipeline.run(spark, SF).collect()).keys() == sequences.keys()
+
+
+def test_awkward_and_empty_tables(spark, awkward, empty, tmp_path):
+    """Each stage on nulls, empty and long texts, ties, repeated rows and clashing columns; then all of them, and an empty table."""
+    odd = awkward.withColumnsRenamed({"fp": "_mix_size", "rank": "a.b", "label": "_tox_score", "block": "c0"})
+    labels = spark.createDataFrame([(3, 1), (None, 1), (99, None), *((i, 0) for i in (0, 4, 5, 7, 8, 9, 10, 11, 12, 13, 14))], "doc_id long, toxic int")
+    for name, table in (("awkward", odd), ("empty", empty)):
+        home = f"{tmp_path}/{name}"
+        table.write.parquet(f"{home}/documents.parquet")
+        labels.write.parquet(f"{home}/labels.parquet")
+        docs = spark.read.parquet(f"{home}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, home)
+            assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+            assert (out.count() > 0) == (name == "awkward")
+        rows = corpus_pipeline.run(spark, home).collect()
+        sequences = rebuilt(rows)
+        assert (sum(map(len, sequences.values())) > 1000) == (name == "awkward")
+    kept = {(r["doc_id"], r["text"]) for r in simhash.deduplicate(awkward).collect()}
+    assert {t for _, t in kept if t and "no id" in t}  # a null id is no reason to go
+
+
 def test_the_package_stands_alone():
     """Nothing outside these folders imports the operators, but the guard in the entry module."""
     root = Path(corpus_pipeline.__file__).parent
