@@ -24,6 +24,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -39,47 +40,47 @@ END_ID = 1
 SALTS, SALT_PIECES = 256, 1 << 17
 #: Words whose ids a worker keeps in each of two generations.
 WORDS_KEPT = 500_000
-#: Words encoded in one call.
-WORDS_AT_ONCE = 16_384
 
 _workers: dict = {}
 
 
-class Words:
+class Words(dict):
     """The ids of single words as little-endian unsigned 32-bit bytes, kept for the words met lately.
 
     The vocabulary's normaliser and splitter never look across ASCII white space, so a
     text's ids are its words' ids in order, and each word is encoded once as long as it
-    stays in use: when the young generation is full it becomes the old one, and words of
-    the old one that are met again move back.
+    stays in use: when this generation is full it becomes the old one, and words of the old
+    one that are met again move back.
+
+    A word of the letters a to z alone is what the normaliser and the splitter make of it,
+    one piece of the same bytes, so the merges are asked for it directly.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[bytes, bytes] = {}
+        self.merges = self.tokenizer.model
         self.old: dict[bytes, bytes] = {}
 
+    def __missing__(self, word: bytes) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            if word.isalpha() and word.islower():  # of bytes: ASCII letters
+                ids = [t.id for t in self.merges.tokenize(word.decode("ascii"))]
+            else:
+                ids = self.tokenizer.encode_batch_fast([word.decode("utf-8")], add_special_tokens=False)[0].ids
+            found = pack_ids(f"<{len(ids)}I", *ids)
+        if len(self) >= WORDS_KEPT:
+            self.old = dict(self)
+            self.clear()
+        self[word] = found
+        return found
+
     def ids(self, words: list[bytes]) -> list[bytes]:
-        found = list(map(self.young.get, words))
-        if None not in found:
-            return found
-        missing = {w for w, x in zip(words, found, strict=True) if x is None}
-        if len(self.young) + len(missing) > WORDS_KEPT:
-            self.young, self.old = {}, self.young
-            missing = set(words)
-        fresh = {w: x for w in missing if (x := self.old.get(w)) is not None}
-        new = [w for w in missing if w not in fresh]
-        for at in range(0, len(new), WORDS_AT_ONCE):
-            part = new[at : at + WORDS_AT_ONCE]
-            encoded = self.tokenizer.encode([w.decode("utf-8") for w in part], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(encoded.ids, dtype="<u4").tobytes()
-            cuts = (4 * np.searchsorted(np.array(encoded.word_ids, dtype=np.int64), np.arange(len(part) + 1))).tolist()
-            fresh.update((w, ids[a:b]) for w, a, b in zip(part, cuts, cuts[1:], strict=False))
-        self.young.update(fresh)
-        return list(map(self.young.__getitem__, words))
+        return list(map(self.__getitem__, words))
 
 
 _ALNUM, _SPACE, _STOP = (np.zeros(256, dtype=bool) for _ in range(3))

@@ -54,6 +54,21 @@ def test_capitals_before_marks_have_the_same_ids():
     assert ids_of_parted(texts, words) == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_every_kind_of_word_has_the_same_ids():
+    """Signs beside letters and digits, apostrophes with their endings, characters beyond ASCII, and plain words of any length."""
+    tokenizer, words, texts = Tokenizer.from_file(PATH), packing.Words(PATH), []
+
+    @settings(max_examples=1500, deadline=None)
+    @given(st.text(alphabet=st.one_of(st.sampled_from("ab stTvelr'.,-_<|>/0123456789 \n"), st.characters(max_codepoint=127), st.sampled_from("é\u0301ß漢²½\u00a0\u2028\u0660\u02bc\u2019")), max_size=14))
+    def gather(t):
+        texts.append(t)
+
+    gather()
+    texts += ["a-b_c/d 12.5% v1.2.3, (x) it's 'tis o'clock, 9's rock'n'roll don't. l'été, naïve-2 a1b2", "http://host-1.example.org:8080/x?y=1&z=%20#a", "\x00a\x1fb\x7f1"]
+    texts += ["".join(chr(97 + (i * i * k + k) % 26) for i in range(n)) for n in range(1, 60) for k in (3, 7)] + ["zq" * 3_000]
+    assert ids_of_parted(texts, words) == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_case_is_decided_word_by_word():
     """A neighbour with a special token or a mark changes nothing about a text's words."""
     words = packing.Words(PATH)
