@@ -49,7 +49,7 @@ CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back; it goes when the driver ends.
+    """Writes df as a table in the shared folder and reads it back; it goes when the driver ends, or with dropped().
 
     The table is what later steps read, so the shuffles that made it are let go once it is
     complete; until then a lost executor's part is made again from them.
@@ -70,7 +70,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
             return
 
     atexit.register(gone)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[id(table)] = (table, path)
+    return table
+
+
+#: Stored tables by the identity of what stored() returned, which is kept so that it stays theirs.
+_paths: dict[int, tuple[DataFrame, str]] = {}
+
+
+def dropped(table: DataFrame) -> None:
+    """Removes what stored() wrote, once nothing will read it again."""
+    _, path = _paths.pop(id(table))
+    remove(table.sparkSession, path)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -410,3 +410,24 @@ def op3_pii(spark, sf_dir: str) -> DataFrame:
 
     counts = [F.size(F.filter("_pii_base", is_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return marked.select("doc_id", *counts, F.sha2(line("_pii_base").cast("binary"), 256).alias("base_sha256"), line("_pii_all").alias("spans"))
+
+
+def pii_base_counts(spark, sf_dir: str) -> DataFrame:
+    """The base spans of op3_pii by kind, which SQL can count."""
+    return op3_pii(spark, sf_dir).select("doc_id", *[f"n_{k}" for k in KINDS])
+
+
+BASE_COUNTS_SQL = r"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+found AS (
+  SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS emails, regexp_extract_all(text, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ips,
+         [regexp_replace(s, '[^0-9]', '', 'g') FOR s IN regexp_extract_all(text, '[0-9]([\x20-]?[0-9])+')] AS cards,
+         [regexp_replace(s, '[^0-9]', '', 'g') FOR s IN regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]')] AS phones
+  FROM docs)
+SELECT doc_id, CAST(len(emails) AS BIGINT) AS n_email,
+       CAST(len([s FOR s IN ips IF len([p FOR p IN string_split(s, '.') IF len(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(nullif(ltrim(p, '0'), '') AS HUGEINT), 0) > 255]) = 0]) AS BIGINT) AS n_ip,
+       CAST(len([d FOR d IN cards IF len(d) BETWEEN 16 AND 19
+                 AND list_sum([CASE WHEN k % 2 = 0 THEN CAST(d[len(d) - k] AS INTEGER) ELSE 2 * CAST(d[len(d) - k] AS INTEGER) - CASE WHEN CAST(d[len(d) - k] AS INTEGER) > 4 THEN 9 ELSE 0 END END FOR k IN range(len(d))]) % 10 = 0]) AS BIGINT) AS n_card,
+       CAST(len([d FOR d IN phones IF len(d) BETWEEN 8 AND 15]) AS BIGINT) AS n_phone
+FROM found
+"""

@@ -278,3 +278,17 @@ def op10_recompression(spark, sf_dir: str) -> DataFrame:
     found = removed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
+
+
+OP10_SQL = """
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+starts AS (SELECT rid, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM docs),
+windows AS (SELECT rid, doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM starts),
+least AS (SELECT g, min(doc_id) AS m FROM windows GROUP BY g),
+hit AS (SELECT rid, i FROM windows JOIN least USING (g) WHERE m < doc_id OR (doc_id IS NULL AND m IS NOT NULL)),
+gone AS (SELECT DISTINCT rid, i FROM (SELECT rid, unnest(range(i, i + 13)) AS i FROM hit)),
+words AS (SELECT rid, generate_subscripts(w, 1) AS i, unnest(w) AS w FROM docs),
+kept AS (SELECT rid, string_agg(w, ' ' ORDER BY i) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (rid, i) GROUP BY rid)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k USING (rid)
+"""

@@ -15,10 +15,13 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_scoring": scoring.op9_scoring,
     "op10_recompression": recompression.op10_recompression,
+    "pii_base_counts": pii.pii_base_counts,
 }
 ORACLE_SQL = {
     "op1_mixing": mixing.OP1_SQL,
     "op6_search": search.OP6_SQL,
     "op7_chat": chat.OP7_SQL,
     "op9_scoring": scoring.OP9_SQL,
+    "op10_recompression": recompression.OP10_SQL,
+    "pii_base_counts": pii.BASE_COUNTS_SQL,
 }

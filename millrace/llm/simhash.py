@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import numbered, place_of, scrambled, steps, stored, utf8, word_spans
+from millrace.llm.common import dropped, numbered, place_of, scrambled, steps, stored, utf8, word_spans
 
 SEED = 42
 #: Fingerprints link at this many differing bits or fewer.
@@ -246,7 +246,9 @@ def components(edges: DataFrame, label: str = "links") -> DataFrame:
 
     Alternating large-star and small-star rounds (Kiveris et al.): each round links every
     node's neighbours to the least of them; the edges never outnumber those given. Stops
-    when a round changes nothing.
+    when a round changes nothing. A node with very many neighbours is one key of the joins:
+    its rows are two longs each, and adaptive execution splits a partition that they make
+    too large, the other side having one row for it.
     """
     spark = edges.sparkSession
     now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), label)
@@ -259,6 +261,7 @@ def components(edges: DataFrame, label: str = "links") -> DataFrame:
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         after = stored(small, label)
         mark = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        dropped(now)  # the round before has been read for the last time
         if mark == seen:
             return after.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen, now = mark, after
