@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.ranges import join_range
 from millrace.schema import DEFAULT, ChannelSchema, require
 
 
@@ -16,7 +17,7 @@ def number(x: Column) -> Column:
 def gap_groups(samples: DataFrame, keys: list[str], min_gap_s: float) -> DataFrame:
     """samples (keys, time_s) with group_ix: a new group where the time since the last exceeds min_gap_s."""
     if min_gap_s < 0:
-        raise ValueError("min_gap_s cannot be negative.")
+        raise ValueError("The gap between groups has to be 0 seconds or more.")
     order = Window.partitionBy(*keys).orderBy("time_s")
     new = F.coalesce((F.col("time_s") - F.lag("time_s").over(order) > min_gap_s).cast("int"), F.lit(0))
     return samples.withColumn("new_group", new).withColumn("group_ix", F.sum("new_group").over(order)).drop("new_group")
@@ -35,13 +36,14 @@ def candidates(signals: DataFrame, episodes: DataFrame, quantile: float, schema:
     """Samples over their episode's quantile, with that threshold.
 
     Episodes are few beside samples: Catalyst broadcasts them where their measured size
-    allows and else joins by run, so no broadcast is forced here.
+    allows and else joins by run and chunk of time, so no broadcast is forced here.
     """
     if not 0 <= quantile <= 1:
-        raise ValueError("quantile must lie between 0 and 1.")
+        raise ValueError("A quantile lies between 0 and 1.")
     samples = signals.select("run_name", "time_s", number(F.col(schema.voltage)).alias("voltage"))
-    bounds = episodes.select(F.col("run_name").alias("of_run"), "episode_ix", F.col("start_time").alias("episode_start_time"), F.col("end_time").alias("episode_end_time"), "extended_end_time")
-    inside = samples.join(bounds, (F.col("run_name") == F.col("of_run")) & F.col("time_s").between(F.col("episode_start_time"), F.col("extended_end_time"))).drop("of_run")
+    bounds = episodes.select("run_name", "episode_ix", F.col("start_time").alias("episode_start_time"), F.col("end_time").alias("episode_end_time"), "extended_end_time")
+    start, end = F.col("episode_start_time"), F.col("extended_end_time")
+    inside = join_range(samples, "time_s", bounds, start, end, F.col("time_s").between(start, end), (samples, "time_s"))
     # A window, not an aggregate joined back: the samples are joined and dealt out once, and the
     # grouping by gaps that follows finds them partitioned as it needs.
     level = F.percentile("voltage", F.lit(quantile)).over(Window.partitionBy("run_name", "episode_ix"))
@@ -58,7 +60,7 @@ def detect_events(
     deduplicate: bool = True,
     duplicate_tolerance_s: float = 0.001,
 ) -> DataFrame:
-    """Events of every run and episode; the peak is the first of a group's greatest samples.
+    """Events of every run and episode, with the channel they come from as source; the peak is the first of a group's greatest samples.
 
     What lies between a group's first and last candidate without being one is below the
     threshold, so the group's candidates hold its peak.
@@ -76,7 +78,7 @@ def detect_events(
             F.first("episode_end_time").alias("episode_end_time"),
         )
         .where(F.col("end_time") - F.col("start_time") >= min_duration_s)
-        .withColumn("source", F.lit("voltage"))
+        .withColumn("source", F.lit(schema.voltage))
     )
     if deduplicate:
         found = dedup_events(found, duplicate_tolerance_s)
@@ -89,7 +91,7 @@ def dedup_events(events: DataFrame, tolerance_s: float = 0.001) -> DataFrame:
     Peaks meet in buckets of half-even rounded time, not by distance.
     """
     if tolerance_s <= 0:
-        raise ValueError("tolerance_s must be positive.")
+        raise ValueError("Peaks need a tolerance above 0 seconds.")
     order = Window.partitionBy("run_name", F.rint(F.col("peak_time") / tolerance_s)).orderBy(
         F.abs(F.col("peak_time") - F.col("episode_end_time")), peak_ratio(F.col("peak_voltage"), F.col("threshold")).desc(), F.col("peak_voltage").desc(), "episode_ix", "start_time"
     )
@@ -98,7 +100,7 @@ def dedup_events(events: DataFrame, tolerance_s: float = 0.001) -> DataFrame:
 
 def filter_by_ratio(events: DataFrame, min_ratio: float) -> DataFrame:
     if min_ratio < 0:
-        raise ValueError("min_ratio cannot be negative.")
+        raise ValueError("The least ratio has to be 0 or more.")
     return events.where(F.col("peak_to_threshold_ratio") >= min_ratio)
 
 

@@ -1,11 +1,13 @@
 """Order-dependent operators: one ordered pass over each group.
 
 Groups are dealt by hash of their keys and sorted within partitions; a pass over a
-partition keeps one group's state at a time, so no group is ever collected.
+partition keeps one group's state at a time, so no group is ever collected. A row without
+a time comes to nothing: it is not kept, and matches nothing.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,20 +19,22 @@ from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 def thin(rows: DataFrame, keys: list[str], time: str, spacing_s: float, strict: bool, ties: tuple[str, ...] = ()) -> DataFrame:
     """The rows that greedy thinning keeps: each at least (strict: more than) spacing_s after the last one kept."""
     if spacing_s < 0:
-        raise ValueError("spacing cannot be negative.")
+        raise ValueError("Rows cannot be less than 0 seconds apart.")
     ordered = rows.repartition(*keys).sortWithinPartitions(*keys, time, *ties)
     names = list(ordered.columns)
     places, at = [names.index(k) for k in keys], names.index(time)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: tuple | None = None
-        last = 0.0
+        last: float | None = None
         for batch in batches:
             keep = []
             for key, t in zip(zip(*[batch.column(i).to_pylist() for i in places], strict=True), batch.column(at).to_pylist(), strict=True):
-                good = key != group or (t - last > spacing_s if strict else t - last >= spacing_s)
+                if key != group:
+                    group, last = key, None
+                good = t is not None and (last is None or (t - last > spacing_s if strict else t - last >= spacing_s))
                 if good:
-                    group, last = key, t
+                    last = t
                 keep.append(good)
             yield batch.filter(pa.array(keep, type=pa.bool_()))
 
@@ -41,11 +45,12 @@ def match_latest(rows: DataFrame, keys: list[str], horizon_s: float) -> DataFram
     """rows (keys, time_s, is_event) with matched and matched_time.
 
     In the order of time every event takes the latest detection, not yet taken, that lies
-    strictly inside (its time - horizon_s, its time). Detections wait on a stack: its top is
-    the latest free one, and if that is too old so is all below, which is let go.
+    strictly inside (its time - horizon_s, its time). Free detections wait in the order of
+    their times: an event takes the latest, and those that no later event can reach are let
+    go as soon as a later row comes, so no more of them wait than lie within one horizon.
     """
     if horizon_s <= 0:
-        raise ValueError("the horizon must be positive.")
+        raise ValueError("Matching needs a horizon above 0 seconds.")
     # At equal times events come first: a detection must be strictly earlier.
     ordered = rows.select(*keys, "time_s", "is_event").repartition(*keys).sortWithinPartitions(*keys, "time_s", F.col("is_event").desc())
     schema = StructType([*ordered.schema.fields, StructField("matched", BooleanType()), StructField("matched_time", DoubleType())])
@@ -53,7 +58,7 @@ def match_latest(rows: DataFrame, keys: list[str], horizon_s: float) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: tuple | None = None
-        waiting: list[float] = []
+        waiting: deque[float] = deque()
         out: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
@@ -68,16 +73,19 @@ def match_latest(rows: DataFrame, keys: list[str], horizon_s: float) -> DataFram
                 key, t, event = row[:n], row[n], row[n + 1]
                 if key != group:
                     out += [(*group, x, False, False, None) for x in waiting] if group is not None else []
-                    group, waiting = key, []
+                    group, waiting = key, deque()
+                if t is None:
+                    out.append((*row, False, None))
+                    continue
+                while waiting and waiting[0] <= t - horizon_s:
+                    out.append((*key, waiting.popleft(), False, False, None))
                 if not event:
                     waiting.append(t)
-                elif waiting and waiting[-1] > t - horizon_s:
+                elif waiting:
                     found = waiting.pop()
                     out.append((*row, True, found))
                     out.append((*key, found, False, True, t))
                 else:
-                    out += [(*key, x, False, False, None) for x in waiting]
-                    waiting.clear()
                     out.append((*row, False, None))
             if out:
                 yield flush()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.episodes import region_end
+from millrace.operators.ranges import join_range
 
 #: Slack of the comparison of a window's end with its region's.
 END_SLACK = 1e-12
@@ -28,7 +29,7 @@ def sliding_windows(signals: DataFrame, episodes: DataFrame, window_s: float, ho
     window leave with the filter.
     """
     if window_s <= 0 or hop_s <= 0:
-        raise ValueError("window_s and hop_s must be positive.")
+        raise ValueError("Windows need a length and a hop above 0 seconds.")
     rates = (
         sample_rates(signals)
         .where("sample_rate_hz > 0")
@@ -41,8 +42,10 @@ def sliding_windows(signals: DataFrame, episodes: DataFrame, window_s: float, ho
     )
     # The first test has no slack, the one of each window has.
     spans = episodes.withColumn("region_end", region_end(region)).where(F.col("start_time") + window_s <= F.col("region_end"))
-    spans = spans.join(rates, F.col("run_name") == F.col("of_run")).select("of_run", "episode_ix", F.col("start_time").alias("from_time"), "region_end", "n_rows", "n_window", "n_hop")
-    anchors = signals.select("run_name", "pos", "time_s").join(spans, (F.col("run_name") == F.col("of_run")) & (F.col("time_s") >= F.col("from_time")) & (F.col("time_s") <= F.col("region_end"))).drop("of_run")
+    spans = spans.join(rates, F.col("run_name") == F.col("of_run")).select("run_name", "episode_ix", F.col("start_time").alias("from_time"), "region_end", "n_rows", "n_window", "n_hop")
+    samples = signals.select("run_name", "pos", "time_s")
+    start, end = F.col("from_time"), F.col("region_end")
+    anchors = join_range(samples, "time_s", spans, start, end, F.col("time_s").between(start, end), (samples, "time_s"))
     first = F.min("pos").over(Window.partitionBy("run_name", "episode_ix"))
     return (
         anchors.withColumn("first_pos", first)
@@ -68,23 +71,25 @@ def timed_windows(signals: DataFrame, episodes: DataFrame, window_s: float, hop_
     start + window_s); an episode's windows end with the first that holds none.
     """
     if window_s <= 0 or hop_s <= 0:
-        raise ValueError("window_s and hop_s must be positive.")
+        raise ValueError("Windows need a length and a hop above 0 seconds.")
     end = region_end(region)
     last = F.floor((end - F.col("start_time") - window_s + END_SLACK) / hop_s)
     starts = (
         episodes.where(last >= 0)
-        .select(F.col("run_name").alias("of_run"), "episode_ix", "start_time", end.alias("region_end"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("k"))
+        .select("run_name", "episode_ix", "start_time", end.alias("region_end"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("k"))
         .withColumn("window_start", F.col("start_time") + F.col("k") * F.lit(float(hop_s)))
         .withColumn("window_end", F.col("window_start") + window_s)
         .where(F.col("window_end") <= F.col("region_end") + END_SLACK)
     )
-    inside = (F.col("run_name") == F.col("of_run")) & (F.col("time_s") >= F.col("window_start")) & (F.col("time_s") < F.col("window_end"))
-    held = starts.join(signals.select("run_name", "pos", "time_s"), inside, "left").groupBy("of_run", "episode_ix", "k", "window_start", "window_end").agg(F.min("pos").alias("start_index"), (F.max("pos") + 1).alias("end_index"))
-    unbroken = Window.partitionBy("of_run", "episode_ix").orderBy("k")
+    samples = signals.select("run_name", "pos", "time_s")
+    inside = (F.col("time_s") >= F.col("window_start")) & (F.col("time_s") < F.col("window_end"))
+    met = join_range(samples, "time_s", starts, F.col("window_start"), F.col("window_end"), inside, (samples, "time_s"), "left")
+    held = met.groupBy("run_name", "episode_ix", "k", "window_start", "window_end").agg(F.min("pos").alias("start_index"), (F.max("pos") + 1).alias("end_index"))
+    unbroken = Window.partitionBy("run_name", "episode_ix").orderBy("k")
     return (
         held.withColumn("empty", F.max(F.col("start_index").isNull().cast("int")).over(unbroken))
         .where("empty = 0")
-        .select(F.col("of_run").alias("run_name"), "episode_ix", F.col("k").cast("int").alias("window_ix"), "window_start", "window_end", F.col("window_end").alias("detection_time"), "start_index", "end_index")
+        .select("run_name", "episode_ix", F.col("k").cast("int").alias("window_ix"), "window_start", "window_end", F.col("window_end").alias("detection_time"), "start_index", "end_index")
     )
 
 

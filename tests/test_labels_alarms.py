@@ -26,7 +26,7 @@ def test_labels_keep_runs_apart_and_refuse_odd_windows(spark):
     assert label(spark, 9.5, [10], run="other") == (0, None)
     w = spark.createDataFrame([("r", 0.0, 1.0, 1.5)], "run_name string, window_start double, window_end double, detection_time double")
     e = spark.createDataFrame([], "run_name string, peak_time double")
-    with pytest.raises(PySparkException, match="window_end"):
+    with pytest.raises(PySparkException, match="another time"):
         labels.label_features(w, e).collect()
     with pytest.raises(ValueError):
         labels.label_windows(w, e, 0)
@@ -113,7 +113,7 @@ def test_evaluation_and_sweep(spark):
     assert (rows[0.5]["n_detected_events"], rows[0.5]["n_false_detections"], rows[0.5]["false_detections_per_hour"]) == (1, 2, 2.0)
     assert rows[0.7]["average_advance_time_s"] == pytest.approx(0.8) and rows[0.7]["mean_seconds_between_false_detections"] == 3600
     assert (rows[0.95]["true_positive_rate"], rows[0.95]["mean_seconds_between_false_detections"], rows[0.95]["average_advance_time_s"]) == (0, None, None)
-    with pytest.raises(PySparkException, match="positive"):
+    with pytest.raises(PySparkException, match="no evaluated seconds"):
         alarms.evaluate(p, e, seconds.limit(0), (0.5,)).collect()
     assert alarms.parse_thresholds("0.05, 0.10,0.50") == (0.05, 0.1, 0.5)
     for bad in ("", "2", "x"):
@@ -135,3 +135,30 @@ def test_fold_and_overall_metrics_come_from_one_rollup(spark):
         assert [rows[t, None][c] for c in overall[t].asDict()] == [pytest.approx(v) for v in overall[t]]
     assert (rows[0.5, 1]["n_reference_events"], rows[0.5, 1]["n_detected_events"], rows[0.5, 1]["n_false_detections"]) == (2, 1, 1)
     assert rows[0.8, 0]["true_positive_rate"] == 1.0 and rows[0.8, 1]["mean_seconds_between_false_detections"] is None
+
+
+def test_rows_without_a_time_come_to_nothing(spark):
+    df = spark.createDataFrame([("r", None), ("r", 1.0), ("r", 1.5), ("r", None), ("r", 3.0), ("s", None)], "run_name string, time_s double")
+    assert sorted(r["time_s"] for r in greedy.thin(df, ["run_name"], "time_s", 1.0, strict=False).collect()) == [1.0, 3.0]
+    rows = [("r", None, True), ("r", None, False), ("r", 1.0, False), ("r", 2.0, True), ("s", None, True)]
+    found = greedy.match_latest(spark.createDataFrame(rows, "run_name string, time_s double, is_event boolean"), ["run_name"], 5.0).collect()
+    assert sorted((str(r["time_s"]), r["is_event"], r["matched"], r["matched_time"]) for r in found) == [("1.0", False, True, 2.0), ("2.0", True, True, 1.0), ("None", False, False, None), ("None", True, False, None), ("None", True, False, None)]
+
+
+def test_matching_by_definition_and_with_few_waiting(spark):
+    """Against the definition, event by event; alarms of a long run without events leave batch by batch."""
+    r = random.Random(3)
+    rows = sorted({(f"run{r.randrange(3)}", r.randrange(60) / 2, r.random() < 0.3) for _ in range(120)})
+    df = spark.createDataFrame(rows, "run_name string, time_s double, is_event boolean")
+    want = []
+    for run in sorted({x[0] for x in rows}):
+        free = [t for n, t, e in rows if n == run and not e]
+        for t in [t for n, t, e in rows if n == run and e]:
+            hit = max((d for d in free if t - 2.5 < d < t), default=None)
+            want.append((run, t, hit))
+            if hit is not None:
+                free.remove(hit)
+    got = greedy.match_latest(df, ["run_name"], 2.5).where("is_event").collect()
+    assert sorted((x["run_name"], x["time_s"], x["matched_time"]) for x in got) == sorted(want)
+    lone = spark.range(50_000).selectExpr("'r' as run_name", "cast(id as double) as time_s", "false as is_event")
+    assert greedy.match_latest(lone, ["run_name"], 3.0).where("not matched").count() == 50_000
