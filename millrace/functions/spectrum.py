@@ -91,10 +91,27 @@ def log_spectrogram(audio: np.ndarray, config: SpectrogramConfig = SpectrogramCo
     """ln(power + eps) by frequency (rows) and frame (columns); no mean is taken off."""
     audio = np.asarray(audio, dtype=float)
     if audio.ndim != 1:
-        raise ValueError("audio must be one-dimensional.")
+        raise ValueError("Samples come as one row of numbers.")
     if not len(audio):
         return np.zeros((config.frame_size // 2 + 1, 0))
     cut = frames(padded(audio, config.frame_size), config.frame_size, config.hop_size)
     power = np.abs(np.fft.rfft(cut * np.hanning(config.frame_size), axis=1)) ** 2
     out = np.log(power + config.eps).T
     return standardized(out) if config.normalize else out
+
+
+def spectrogram_table(flat: np.ndarray, sizes: np.ndarray, config: SpectrogramConfig = SpectrogramConfig()) -> list[np.ndarray]:  # noqa: B008
+    """log_spectrogram of many arrays that lie one after the other in `flat`, each flattened by rows; equal lengths are transformed together."""
+    ends = np.cumsum(sizes)
+    out: list[np.ndarray] = [np.zeros(0)] * len(sizes)
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero(sizes == size)
+        block = flat[(ends[at] - size)[:, None] + np.arange(size)]
+        if size < config.frame_size:
+            block = np.pad(block, ((0, 0), (0, config.frame_size - size)))
+        cut = np.lib.stride_tricks.sliding_window_view(block, config.frame_size, axis=1)[:, :: config.hop_size]
+        power = np.abs(np.fft.rfft(cut * np.hanning(config.frame_size), axis=2)) ** 2
+        logs = np.log(power + config.eps).transpose(0, 2, 1)
+        for i, values in zip(at.tolist(), logs, strict=True):
+            out[i] = (standardized(values) if config.normalize else values).reshape(-1)
+    return out

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from millrace.functions.spectrum import SpectrogramConfig, log_spectrogram
+from millrace.functions.spectrum import SpectrogramConfig, spectrogram_table
 from millrace.operators.features import window_arrays
 from millrace.schema import DEFAULT, ChannelSchema, require
 
@@ -32,12 +33,20 @@ def with_spectrogram(arrays: DataFrame, config: SpectrogramConfig = SpectrogramC
     kept = [c for c in arrays.columns if c != "audio"]
     schema = StructType([*[arrays.schema[c] for c in kept], StructField("spectrogram", ArrayType(ArrayType(DoubleType())))])
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            part["spectrogram"] = [log_spectrogram(a, config).tolist() for a in part["audio"]]
-            yield part[[*kept, "spectrogram"]]
+    places, audio = [arrays.columns.index(c) for c in kept], arrays.columns.index("audio")
 
-    return arrays.mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(audio)
+            sizes = np.array([n or 0 for n in column.value_lengths().to_pylist()], dtype=np.int64)
+            made = spectrogram_table(column.flatten().to_numpy(zero_copy_only=False).astype(float), sizes, config)
+            bins = config.frame_size // 2 + 1
+            frames = np.array([len(s) // bins for s in made], dtype=np.int64)
+            inner = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *np.repeat(frames, bins)]), type=pa.int32()), pa.array(np.concatenate([*made, np.zeros(0)])))
+            outer = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * bins, type=pa.int32()), inner)
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in places], outer], names=[*kept, "spectrogram"])
+
+    return arrays.mapInArrow(run, schema)
 
 
 def labeled_spectrograms(signals: DataFrame, labeled: DataFrame, config: SpectrogramConfig = SpectrogramConfig(), schema: ChannelSchema = DEFAULT) -> DataFrame:  # noqa: B008

@@ -66,6 +66,9 @@ cuts AS (
   FROM anchors WHERE (pos - p0) % h = 0 AND time_s + 345600 <= end_time + 1e-12 AND pos + n <= n_rows)"""
 )
 
+#: The same windows up to the end of each episode's grace period.
+EXTENDED = WINDOWS.replace("s.time_s, e.end_time, r.n_rows", "s.time_s, e.extended_end_time AS end_time, r.n_rows").replace("<= e.end_time", "<= e.extended_end_time")
+
 FEATURES = """signed AS (
   SELECT *, time_s - lag(time_s) OVER r AS step, CASE WHEN signbit(x) <> signbit(lag(x) OVER r) THEN 1 ELSE 0 END AS flip FROM signals WINDOW r AS (PARTITION BY run_name ORDER BY pos)),
 sampled AS (
@@ -178,7 +181,7 @@ ORACLE_SQL = {
         "g AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY run_name ORDER BY time_s) AS BIGINT) AS group_ix FROM m)",
         select="SELECT run_name, group_ix, round(min(time_s), 6) AS start_time, round(max(time_s), 6) AS end_time, count(*) AS n_rows FROM g GROUP BY run_name, group_ix",
     ),
-    "voltage_events": query(SIGNALS, EPISODES, EVENTS, select=f"SELECT run_name, episode_ix, {_EVENT} FROM raw"),
+    "voltage_events": query(SIGNALS, EPISODES, EVENTS, select=f"SELECT run_name, episode_ix, {_EVENT}, 'VoltageSignal' AS source FROM raw"),
     "dedup_events": query(SIGNALS, EPISODES, EVENTS, select=f"SELECT run_name, episode_ix, {_EVENT} FROM found"),
     "ratio_filter": query(
         SIGNALS, EPISODES, EVENTS, select="SELECT run_name, round(peak_time, 6) AS peak_time, round(peak_voltage, 6) AS peak_voltage, round(threshold, 6) AS threshold, round(ratio, 6) AS peak_to_threshold_ratio FROM found WHERE ratio >= 1.05"
@@ -212,6 +215,39 @@ ORACLE_SQL = {
         select="SELECT run_name, count(*) FILTER (WHERE recent) AS n_recent, count(*) FILTER (WHERE recent AND NOT on_) AS n_only_recent FROM seen GROUP BY run_name",
     ),
     "sliding_windows": query(SIGNALS, EPISODES, WINDOWS, select=f"SELECT {_WINDOW}, round(window_start, 6) AS window_start, round(window_end, 6) AS window_end, round(detection_time, 6) AS detection_time, start_index, end_index FROM cuts"),
+    "windows_extended": query(
+        SIGNALS, EPISODES, EXTENDED, select=f"SELECT {_WINDOW}, round(window_start, 6) AS window_start, round(window_end, 6) AS window_end, round(detection_time, 6) AS detection_time, start_index, end_index FROM cuts"
+    ),
+    "timed_windows": query(
+        SIGNALS,
+        EPISODES,
+        """starts AS (
+  SELECT run_name, episode_ix, CAST(k AS INTEGER) AS window_ix, start_time + k * 86400.0::DOUBLE AS window_start, start_time + k * 86400.0::DOUBLE + 345600 AS window_end
+  FROM (SELECT *, unnest(range(0, greatest(0, CAST(floor((end_time - start_time - 345600 + 1e-12) / 86400) AS BIGINT) + 1))) AS k FROM episodes)
+  WHERE start_time + k * 86400.0::DOUBLE + 345600 <= end_time + 1e-12),
+held AS (
+  SELECT w.run_name, w.episode_ix, w.window_ix, w.window_start, w.window_end, min(s.pos) AS start_index, max(s.pos) + 1 AS end_index
+  FROM starts w LEFT JOIN signals s ON s.run_name = w.run_name AND s.time_s >= w.window_start AND s.time_s < w.window_end GROUP BY ALL),
+seen AS (SELECT *, max(CASE WHEN start_index IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY run_name, episode_ix ORDER BY window_ix) AS empty FROM held)""",
+        select=f"SELECT {_WINDOW}, round(window_start, 6) AS window_start, round(window_end, 6) AS window_end, round(window_end, 6) AS detection_time, start_index, end_index FROM seen WHERE empty = 0",
+    ),
+    "resampled_runs": query(
+        SIGNALS,
+        "runs AS (SELECT run_name, min(time_s) AS a, max(time_s) AS b FROM signals GROUP BY run_name)",
+        "grid AS (SELECT run_name, k, a + k * 21600.0::DOUBLE AS t FROM (SELECT *, unnest(range(0, CAST(floor((b - a) / 21600 + 1e-9) AS BIGINT) + 1)) AS k FROM runs))",
+        "past AS (SELECT g.run_name, g.k, g.t, s.time_s, s.x, s.v, s.cut FROM grid g ASOF JOIN signals s ON g.run_name = s.run_name AND g.t >= s.time_s)",
+        "both_ AS (SELECT p.*, n.time_s AS nt, n.x AS nx, n.v AS nv FROM past p ASOF LEFT JOIN signals n ON p.run_name = n.run_name AND p.t < n.time_s)",
+        select="SELECT run_name, k AS pos, round(t, 6) AS time_s, round(x + CASE WHEN nt IS NULL THEN 0 ELSE (nx - x) * (t - time_s) / (nt - time_s) END, 6) AS Sensor1, round(v + CASE WHEN nt IS NULL THEN 0 ELSE (nv - v) * (t - time_s) / (nt - time_s) END, 6) AS VoltageSignal, cut AS CutLength FROM both_",
+    ),
+    "label_features": query(
+        SIGNALS,
+        EPISODES,
+        EVENTS,
+        WINDOWS,
+        FEATURES,
+        LABELS,
+        select="SELECT run_name, episode_ix, window_ix, round(audio_rms, 6) AS audio_rms, label, round(event_peak_time, 6) AS event_peak_time, round(time_to_event_s, 6) AS time_to_event_s FROM labeled JOIN feats USING (run_name, episode_ix, window_ix)",
+    ),
     "window_time_features": query(
         SIGNALS,
         EPISODES,
@@ -277,6 +313,13 @@ FROM bins b JOIN sums s ON s.vec_id = b.vec_id GROUP BY b.vec_id, total, centre"
     "frame_signal": query(
         FRAMES.format(hop=10, frames=5), select="SELECT vec_id, CAST(f AS INTEGER) AS frame_ix, CAST(count(x) AS INTEGER) AS n, round(sum(x), 6) AS total FROM spread GROUP BY vec_id, f HAVING count(x) = 16"
     ),
+    "spectrogram_normalized": query(
+        FRAMES.format(hop=8, frames=7),
+        "shaped AS (SELECT vec_id, f, i, x * (0.5 - 0.5 * cos(2 * pi() * i / 15)) AS w FROM spread)",
+        "bins AS (SELECT vec_id, f, k, ln(pow(sum(w * cos(2 * pi() * k * i / 16)), 2) + pow(sum(w * sin(2 * pi() * k * i / 16)), 2) + 1e-8) AS p FROM shaped, range(0, 9) t(k) GROUP BY vec_id, f, k)",
+        "level AS (SELECT vec_id, avg(p) AS m, stddev_pop(p) AS d FROM bins GROUP BY vec_id)",
+        select="SELECT b.vec_id, round(min((p - m) / d), 5) AS least, round(max((p - m) / d), 5) AS most, round(avg(pow((p - m) / d, 2)), 5) AS mean_square FROM bins b JOIN level l ON l.vec_id = b.vec_id GROUP BY b.vec_id",
+    ),
     "log_spectrogram_stats": query(
         FRAMES.format(hop=8, frames=7),
         "shaped AS (SELECT vec_id, f, i, x * (0.5 - 0.5 * cos(2 * pi() * i / 15)) AS w FROM spread)",

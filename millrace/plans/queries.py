@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions.spectrum import SpectrogramConfig
 from millrace.operators import alarms, events, features, forest, greedy, labels, spectrograms, status, windows
 from millrace.operators.episodes import episodes, evaluated_durations, whole_runs
+from millrace.sources.files import resample
 from millrace.sources.tables import events_as_signals, scores_of
 
 DAY = 86400.0
@@ -106,7 +107,7 @@ def candidate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def voltage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_events(spark, sf_dir, deduplicate=False).drop("source"))
+    return rounded(_events(spark, sf_dir, deduplicate=False))
 
 
 def dedup_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,6 +147,28 @@ def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_windows(spark, sf_dir))
 
 
+def windows_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows over each episode with its grace period."""
+    signals = _signals(spark, sf_dir)
+    return rounded(windows.sliding_windows(signals, episodes(signals, grace_s=GRACE_S), WINDOW_S, HOP_S, "extended"))
+
+
+def timed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signals = _signals(spark, sf_dir)
+    return rounded(windows.timed_windows(signals, episodes(signals, grace_s=GRACE_S), WINDOW_S, HOP_S))
+
+
+def resampled_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run on a grid of six hours."""
+    return rounded(resample(_signals(spark, sf_dir), DAY / 4, ["Sensor1", "VoltageSignal"], ["CutLength"]))
+
+
+def label_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _features(spark, sf_dir).select("run_name", "episode_ix", "window_ix", "window_start", "window_end", "detection_time", "audio_rms")
+    found = labels.label_features(table, _events(spark, sf_dir), HORIZON_S, EXCLUSION_S)
+    return rounded(found.select("run_name", "episode_ix", "window_ix", "audio_rms", "label", "event_peak_time", "time_to_event_s"))
+
+
 def window_time_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_features(spark, sf_dir).drop("VehicleSpeed_mean", "VehicleSpeed_std", "CutLength_mean", "CutLength_std", "window_end"))
 
@@ -245,6 +268,13 @@ def log_spectrogram_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found, 5)
 
 
+def spectrogram_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least, greatest and mean square of each array's standardised spectrogram."""
+    made = spectrograms.with_spectrogram(_arrays(spark, sf_dir), SpectrogramConfig(16, 8, 1e-8, True))
+    flat = F.flatten("spectrogram")
+    return rounded(made.select("vec_id", F.array_min(flat).alias("least"), F.array_max(flat).alias("most"), (F.aggregate(flat, F.lit(0.0), lambda a, x: a + x * x) / F.size(flat)).alias("mean_square")), 5)
+
+
 def synthetic_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generator, features, labels, grouped cross-validation and sweep end to end, on a few short runs."""
     from millrace.plans.pipelines import synthetic_evaluation as run
