@@ -26,6 +26,7 @@ def parser() -> argparse.ArgumentParser:
         for option, default in (("consensus-k", 1), ("consensus-n", 1), ("n-splits", 5), ("trees", 100), ("leaf", 1), ("seed", 42)):
             p.add_argument(f"--{option}", type=int, default=default)
         p.add_argument("--depth", type=int, default=None)
+        p.add_argument("--score-threshold", type=float, default=0.1)
         p.add_argument("--threshold-sweep", type=alarms.parse_thresholds, default=alarms.SWEEP)
         return p
 
@@ -43,6 +44,9 @@ def parser() -> argparse.ArgumentParser:
     export.add_argument("--trees", type=int, default=8)
     export.add_argument("--depth", type=int, default=6)
     export.add_argument("--leaf", type=int, default=4)
+    export.add_argument("--seed", type=int, default=42)
+    for option, default in (("window-s", 0.5), ("hop-s", 0.1), ("positive-horizon-s", 1.0), ("post-event-exclusion-s", 1.0)):
+        export.add_argument(f"--{option}", type=float, default=default)
 
     audit = commands.add_parser("audit")
     audit.add_argument("directory")
@@ -77,7 +81,7 @@ def _config(args: argparse.Namespace) -> pipelines.PipelineConfig:
         hop_s=args.hop_s,
         positive_horizon_s=args.positive_horizon_s,
         post_event_exclusion_s=args.post_event_exclusion_s,
-        thresholds=args.threshold_sweep,
+        thresholds=tuple(sorted({*args.threshold_sweep, args.score_threshold})),
         evaluation=alarms.EvaluationConfig(args.max_early_s, args.refractory_s, args.consensus_k, args.consensus_n),
         forest=forest.ForestConfig(n_estimators=args.trees, max_depth=args.depth, min_samples_leaf=args.leaf, random_state=args.seed, n_splits=args.n_splits),
     )
@@ -89,25 +93,42 @@ def _inspected(signals: DataFrame, args: argparse.Namespace) -> DataFrame:
     return found.join(seen, (F.col("run_name") == F.col("of_run")) & (F.col("peak_time") == F.col("at"))).select("run_name", "start_time", "peak_time", "end_time", "peak_voltage", "threshold", "HeaderOn", "recently_on")
 
 
+def _labels(counts: DataFrame) -> None:
+    """Windows and labels per run, and of all runs, ahead of an evaluation."""
+    sums = [F.sum(c).alias(c) for c in counts.columns if c != "run_name"]
+    counts.orderBy("run_name").show(1000, False)
+    counts.agg(F.count(F.lit(1)).alias("n_runs"), *sums).show()
+
+
+def _metrics(found: DataFrame, args: argparse.Namespace) -> None:
+    """The asked threshold by fold and overall, then all thresholds overall."""
+    found.where(F.col("threshold") == args.score_threshold).orderBy("fold").show(1000, False)
+    found.where("fold is null").drop("fold").orderBy("threshold").show(1000, False)
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     args = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("millrace").getOrCreate()
     if args.command == "evaluate-measured":
         config = replace(_config(args), region=args.window_region, event_quantile=args.event_threshold_quantile, min_ratio=args.min_ratio)
-        pipelines.measured_evaluation(spark, args.directory, args.raster, config).orderBy("threshold", "fold").show(1000, False)
+        _metrics(pipelines.measured_evaluation(spark, args.directory, args.raster, config, _labels), args)
     elif args.command == "evaluate-directory":
-        pipelines.directory_evaluation(spark, args.directory, args.max_runs, _config(args)).orderBy("threshold", "fold").show(1000, False)
+        _metrics(pipelines.directory_evaluation(spark, args.directory, args.max_runs, _config(args), _labels), args)
     elif args.command == "export":
         signals = files.read_runs(spark, args.directory, args.max_runs)
         truth = events.with_ratio(events.metadata_to_events(files.read_metadata(spark, args.directory))).join(signals.select("run_name").distinct(), "run_name", "left_semi")
-        labeled, _ = pipelines.labeled_features(signals, truth, pipelines.SYNTHETIC)
-        compact = replace(pipelines.COMPACT, n_estimators=args.trees, max_depth=args.depth, min_samples_leaf=args.leaf)
-        pipelines.export_forest(spark, labeled.persist(), args.output, config=compact)
+        config = replace(pipelines.SYNTHETIC, window_s=args.window_s, hop_s=args.hop_s, positive_horizon_s=args.positive_horizon_s, post_event_exclusion_s=args.post_event_exclusion_s)
+        labeled, _ = pipelines.labeled_features(signals, truth, config)
+        compact = replace(pipelines.COMPACT, n_estimators=args.trees, max_depth=args.depth, min_samples_leaf=args.leaf, random_state=args.seed)
+        labeled = labeled.persist()
+        pipelines.export_forest(spark, labeled, args.output, config=compact)
+        labeled.unpersist()
     elif args.command == "audit":
         signals = files.read_measurements(spark, args.directory, args.raster)
         audited = events.audit(events.detect_events(signals, episodes(signals), args.event_threshold_quantile)).persist()
         events.audit_summary(audited, args.min_ratio).orderBy("run_name").show(1000, False)
         events.weakest(audited).show(10, False)
+        audited.unpersist()
     elif args.command == "inspect-events":
         _inspected(files.read_measurements(spark, args.directory, args.raster), args).orderBy("run_name", "peak_time").show(1000, False)
     elif args.command == "inspect-data":

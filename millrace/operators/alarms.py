@@ -37,9 +37,9 @@ def optional_seconds(x: Column) -> Column:
 
 def checked_consensus(k: int, n: int) -> None:
     if k <= 0 or n <= 0:
-        raise ValueError("consensus k and n must be positive.")
+        raise ValueError("A consensus is of one window or more, out of one or more.")
     if k > n:
-        raise ValueError("consensus k cannot exceed n.")
+        raise ValueError("A consensus of k out of n needs k windows among the n.")
 
 
 def with_thresholds(predictions: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
@@ -67,7 +67,7 @@ def detections(predictions: DataFrame, thresholds: tuple[float, ...] = (0.5,), k
 def suppress(found: DataFrame, refractory_s: float = 1.0) -> DataFrame:
     """Alarms that come more than refractory_s after the last one kept, per threshold and run."""
     if refractory_s < 0:
-        raise ValueError("refractory_s cannot be negative.")
+        raise ValueError("The refractory time has to be 0 seconds or more.")
     return thin(found, ["threshold", "run_name"], "detection_time", refractory_s, strict=True, ties=("score",))
 
 
@@ -75,7 +75,7 @@ def match(events: DataFrame, found: DataFrame, thresholds: tuple[float, ...], ma
     """Every event and alarm of every threshold with what it matched (see match_latest)."""
     require(events, {"run_name", "peak_time"}, "event columns")
     if max_early_s <= 0:
-        raise ValueError("max_early_s must be positive.")
+        raise ValueError("Alarms have to be allowed to come early by more than 0 seconds.")
     wanted = with_thresholds(events.select("run_name", F.col("peak_time").alias("time_s")), thresholds).withColumn("is_event", F.lit(True))
     alarms = found.select("run_name", F.col("detection_time").alias("time_s"), "threshold").withColumn("is_event", F.lit(False))
     return match_latest(wanted.unionByName(alarms), ["threshold", "run_name"], max_early_s)
@@ -98,7 +98,7 @@ def _counts() -> list[Column]:
 
 def _metrics(rows: DataFrame, *keys: str) -> DataFrame:
     """Rates from summed counts and seconds; a total of no seconds raises."""
-    refuse = F.raise_error(F.lit("evaluated_duration_s must be positive")).cast("double")
+    refuse = F.raise_error(F.lit("no evaluated seconds")).cast("double")
     rows = rows.withColumn("seconds", F.when(F.col("seconds") > 0, F.col("seconds")).otherwise(refuse)).na.fill(0, ["events", "hits", "false"])
     return rows.select(
         *keys,

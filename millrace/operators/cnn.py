@@ -22,7 +22,7 @@ class CNNConfig:
         if min(self.in_channels, self.base_channels, self.n_classes) <= 0:
             raise ValueError("channels and classes must be positive.")
         if not 0 <= self.dropout < 1:
-            raise ValueError("dropout must lie in [0, 1).")
+            raise ValueError("A dropout share lies in [0, 1).")
 
 
 def require_torch() -> None:

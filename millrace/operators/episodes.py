@@ -20,7 +20,7 @@ def episodes(signals: DataFrame, schema: ChannelSchema = DEFAULT, min_duration_s
     to the resulting interval.
     """
     if schema.header_on not in signals.columns:
-        raise ValueError(f"Missing header-on column: {schema.header_on}")
+        raise ValueError(f"No header channel {schema.header_on}")
     run = Window.partitionBy("run_name")
     by_pos = run.orderBy("pos")
     on = F.col(schema.header_on)
@@ -53,7 +53,7 @@ def whole_runs(signals: DataFrame) -> DataFrame:
 def region_end(region: str) -> Column:
     """The column that ends the evaluated region: "header-on" or "extended"."""
     if region not in ("header-on", "extended"):
-        raise ValueError(f"Unknown window region: {region}")
+        raise ValueError(f"Windows have no region {region}")
     return F.col("end_time" if region == "header-on" else "extended_end_time")
 
 

@@ -122,7 +122,7 @@ def temporal_deltas(table: DataFrame, group: str = "run_name", order: str = "det
     require(table, {group}, "group column")
     require(table, {order}, "order column")
     if lag <= 0:
-        raise ValueError("lag must be positive.")
+        raise ValueError("Deltas look at least one window back.")
     suffix = suffix or f"delta_{lag}"
     ties = [c for c in ("episode_ix", "window_ix") if c in table.columns]
     past = Window.partitionBy(group).orderBy(order, *ties)

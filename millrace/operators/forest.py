@@ -81,13 +81,13 @@ def feature_names(model: PipelineModel) -> list[str]:
 def predict(model: PipelineModel, table: DataFrame) -> DataFrame:
     """table with score: the mean share of the positive class over trees."""
     if missing := [c for c in feature_names(model) if c not in table.columns]:
-        raise ValueError(f"Missing feature columns: {missing}")
+        raise ValueError(f"The table lacks features of the model: {missing}")
     return model.transform(table).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
 def predicted(score: Column, threshold: float = 0.5) -> Column:
     if not 0 <= threshold <= 1:
-        raise ValueError("threshold must lie between 0 and 1.")
+        raise ValueError("A score threshold lies between 0 and 1.")
     return (score >= threshold).cast("int")
 
 
@@ -110,8 +110,8 @@ def group_folds(table: DataFrame, n_splits: int = 5, group: str = "run_name") ->
 
 def cross_validate(table: DataFrame, config: ForestConfig = ForestConfig(), folds: DataFrame | None = None) -> DataFrame:  # noqa: B008
     """run_name, detection_time, label, score, fold of every row that is not ignored, scored by a forest of the other folds."""
-    folds = (folds if folds is not None else group_folds(table, config.n_splits)).select("run_name", "fold").persist()
-    rows = table.join(F.broadcast(folds), "run_name").persist()  # one row a run
+    folds = (folds if folds is not None else group_folds(table, config.n_splits)).select("run_name", "fold")
+    rows = table.join(folds, "run_name")  # one row a run: Catalyst broadcasts them while they are small
     features = numeric_columns(table)
     out = None
     for fold in range(folds.agg(F.max("fold")).first()[0] + 1):

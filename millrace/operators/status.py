@@ -23,16 +23,16 @@ def _truth(status: Column, kind) -> Column:
     if isinstance(kind, NumericType):
         # NaN counts as true, like every number but zero.
         return status.cast("double") != 0.0
-    raise ValueError(f"Unsupported status value type: {kind.simpleString()}")
+    raise ValueError(f"A status cannot be a {kind.simpleString()}")
 
 
 def normalize_status(signals: DataFrame, schema: ChannelSchema = DEFAULT) -> DataFrame:
     """signals with the boolean header column; the status column stays. Null status raises when a row is read."""
     if schema.status not in signals.columns:
-        raise ValueError(f"Missing status column: {schema.status}")
+        raise ValueError(f"No status channel {schema.status}")
     status = F.col(schema.status)
     on = _truth(status, signals.schema[schema.status].dataType)
-    refuse = F.raise_error(F.lit("Unsupported status value: null")).cast("boolean")
+    refuse = F.raise_error(F.lit("A status cannot be null")).cast("boolean")
     return signals.withColumn(schema.header_on, F.when(status.isNull(), refuse).otherwise(on))
 
 
@@ -46,10 +46,10 @@ def validation_report(signals: DataFrame) -> DataFrame:
 def validate(signals: DataFrame, schema: ChannelSchema = DEFAULT) -> None:
     """Raises ValueError for an empty table, no time column, falling times or absent channels, in that order."""
     if signals.isEmpty():
-        raise ValueError("Measurement data is empty.")
+        raise ValueError("No samples to validate: the table is empty.")
     if "time_s" not in signals.columns:
-        raise ValueError("Measurement data has no time_s column.")
+        raise ValueError("Samples need a time_s column.")
     if not validation_report(signals).where(~F.col("monotonic")).isEmpty():
         raise ValueError("Measurement times must not fall.")
     if missing := [c for c in schema.required if c not in signals.columns]:
-        raise ValueError(f"Missing required channels: {', '.join(missing)}")
+        raise ValueError(f"Channels that are required but absent: {', '.join(missing)}")

@@ -47,15 +47,15 @@ class RunConfig:
 
     def check(self) -> None:
         if self.duration_s <= 0:
-            raise ValueError("duration_s must be positive.")
+            raise ValueError("A run lasts longer than 0 seconds.")
         if self.sample_rate_hz <= 0:
-            raise ValueError("sample_rate_hz must be positive.")
+            raise ValueError("A run has a sample rate above 0.")
         if not 0.0 <= self.header_on_start_s < self.header_on_end_s <= self.duration_s:
             raise ValueError("The header-on interval must lie within the run and not be empty.")
         if self.noise_std < 0:
-            raise ValueError("noise_std cannot be negative.")
+            raise ValueError("Noise has a spread of 0 or more.")
         if self.event_rate_per_minute < 0:
-            raise ValueError("event_rate_per_minute cannot be negative.")
+            raise ValueError("Events come at a rate of 0 or more.")
 
 
 def _tone(hz: float, t: np.ndarray) -> np.ndarray:
@@ -78,7 +78,7 @@ def spaced(times: np.ndarray, spacing_s: float) -> list[float]:
 def precursor(t: np.ndarray, at: float, amplitude: float, seconds: float, draw: np.random.Generator) -> np.ndarray:
     """Rising contact noise over [at - seconds, at]; nothing is drawn where that holds no sample."""
     if seconds <= 0:
-        raise ValueError("duration_s must be positive.")
+        raise ValueError("A run lasts longer than 0 seconds.")
     begin = at - seconds
     inside = (t >= begin) & (t <= at)
     if not inside.any():
@@ -134,7 +134,7 @@ def generate_run(config: RunConfig) -> tuple[pd.DataFrame, pd.DataFrame]:
 def run_configs(n_runs: int, base_seed: int = 42, duration_s: float = 120.0, sample_rate_hz: float = 1000.0, event_rate_per_minute: float = 1.0) -> list[RunConfig]:
     """Parameters of every run, varied by its number."""
     if n_runs <= 0:
-        raise ValueError("n_runs must be positive.")
+        raise ValueError("A data set has one run at least.")
     begin = min(5.0, 0.1 * duration_s)
     end = max(begin + 1.0 / sample_rate_hz, 0.95 * duration_s)
     return [

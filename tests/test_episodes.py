@@ -34,7 +34,7 @@ def test_runs_stay_apart_and_durations_add_up(spark):
 
 
 def test_errors(spark):
-    with pytest.raises(ValueError, match="Missing header-on"):
+    with pytest.raises(ValueError, match="No header channel"):
         episodes(run_of(spark, header=[True]).drop("HeaderOn"))
     with pytest.raises(ValueError, match="region"):
         region_end("all")

@@ -53,7 +53,7 @@ def test_training_scoring_and_export(spark, tmp_path):
     assert both.where(F.abs(F.col("case") - F.col("score")) > 1e-9).count() <= 2
     size = forest.size_bytes(nodes).first()
     assert size["n_trees"] == 4 and size["model_bytes"] == 14 * sum(len(t["left"]) for t in trees)
-    with pytest.raises(ValueError, match="Missing feature"):
+    with pytest.raises(ValueError, match="lacks features"):
         forest.predict(model, data.drop("x"))
     for bad in (data.where("label = 1"), data.where("label = -1")):
         with pytest.raises(ValueError):
