@@ -156,12 +156,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
         rows = rows.where("not _mix_equal").withColumn("_mix_nth", F.lit(1)).unionByName(rows.where("_mix_equal").withColumn("_mix_nth", nth))
     rest = F.greatest(F.lit(0), F.least(F.col("_mix_size"), F.col("_mix_sum") - (F.col("_mix_nth") - 1) * F.col("_mix_size")))
     part = F.when(F.col("_mix_equal"), rest).when(before, F.col("_mix_size")).otherwise(F.lit(0)).cast("long")
+    times = F.when(F.col("_mix_size") > 0, F.col("_mix_epochs") + (F.col("_mix_part") > 0).cast("long"))
+    # An outer explode: from an inner one Catalyst infers a filter ahead of it that counts the words once more.
     copies = (
-        rows.where("_mix_size > 0")
-        .withColumn("_mix_part", part)
-        .withColumn("_mix_times", F.col("_mix_epochs") + (F.col("_mix_part") > 0).cast("long"))
-        .where("_mix_times > 0")
-        .withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_times"))))
+        rows.withColumn("_mix_part", part)
+        .withColumn("_mix_times", times)
+        .withColumn("_mix_copy", F.explode_outer(F.when(F.col("_mix_times") > 0, F.sequence(F.lit(1).cast("long"), F.col("_mix_times")))))
+        .where("_mix_copy is not null")
     )
     cut = (F.col("_mix_copy") > F.col("_mix_epochs")) & (F.col("_mix_part") < F.col("_mix_size"))
     words = F.regexp_extract_all("text", F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), F.lit(1))
