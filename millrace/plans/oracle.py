@@ -309,6 +309,21 @@ seen AS (SELECT *, max(CASE WHEN start_index IS NULL THEN 1 ELSE 0 END) OVER (PA
        round(sum(p) FILTER (WHERE hz >= 2000 AND hz < 8000) / total, 6) AS band_energy_2000_8000_hz, round(sum(p) FILTER (WHERE hz >= 8000 AND hz < 16000) / total, 6) AS band_energy_8000_16000_hz,
        round(centre, 3) AS spectral_centroid_hz, round(sqrt(sum(pow(hz - centre, 2) * p) / total), 3) AS spectral_bandwidth_hz, round(sum(p) FILTER (WHERE hz >= 2000 AND hz < 16000) / total, 6) AS high_frequency_energy_ratio
 FROM bins b JOIN sums s ON s.vec_id = b.vec_id GROUP BY b.vec_id, total, centre""",
+    ),
+    "window_spectrum": query(
+        SIGNALS,
+        EPISODES,
+        WINDOWS,
+        "samples AS (SELECT c.run_name, c.episode_ix, c.window_ix, s.pos - c.start_index AS i, c.end_index - c.start_index AS n, s.x FROM cuts c JOIN signals s ON s.run_name = c.run_name AND s.pos >= c.start_index AND s.pos < c.end_index)",
+        "shaped AS (SELECT *, (x - avg(x) OVER w) * CASE WHEN n > 1 THEN 0.5 - 0.5 * cos(2 * pi() * i / (n - 1)) ELSE 0 END AS v FROM samples WINDOW w AS (PARTITION BY run_name, episode_ix, window_ix))",
+        "spread AS (SELECT *, unnest(range(0, n // 2 + 1)) AS k FROM shaped)",
+        "bins AS (SELECT run_name, episode_ix, window_ix, k, k * 16384.0::DOUBLE / n AS hz, pow(sum(v * cos(2 * pi() * k * i / n)), 2) + pow(sum(v * sin(2 * pi() * k * i / n)), 2) AS p FROM spread GROUP BY run_name, episode_ix, window_ix, n, k)",
+        "sums AS (SELECT run_name, episode_ix, window_ix, sum(p) AS total, sum(p * hz) / nullif(sum(p), 0) AS centre FROM bins GROUP BY run_name, episode_ix, window_ix)",
+        select="""SELECT b.run_name, b.episode_ix, b.window_ix, round(coalesce(sum(p) FILTER (WHERE hz < 500) / nullif(total, 0), 0), 6) AS band_energy_0_500_hz,
+       round(coalesce(sum(p) FILTER (WHERE hz >= 500 AND hz < 2000) / nullif(total, 0), 0), 6) AS band_energy_500_2000_hz, round(coalesce(sum(p) FILTER (WHERE hz >= 2000 AND hz < 8000) / nullif(total, 0), 0), 6) AS band_energy_2000_8000_hz,
+       round(coalesce(sum(p) FILTER (WHERE hz >= 8000 AND hz < 16000) / nullif(total, 0), 0), 6) AS band_energy_8000_16000_hz, round(coalesce(centre, 0), 3) AS spectral_centroid_hz,
+       round(coalesce(sqrt(sum(pow(hz - centre, 2) * p) / nullif(total, 0)), 0), 3) AS spectral_bandwidth_hz, round(coalesce(sum(p) FILTER (WHERE hz >= 2000 AND hz < 16000) / nullif(total, 0), 0), 6) AS high_frequency_energy_ratio
+FROM bins b JOIN sums s USING (run_name, episode_ix, window_ix) GROUP BY b.run_name, b.episode_ix, b.window_ix, total, centre""",
     ),
     "frame_signal": query(
         FRAMES.format(hop=10, frames=5), select="SELECT vec_id, CAST(f AS INTEGER) AS frame_ix, CAST(count(x) AS INTEGER) AS n, round(sum(x), 6) AS total FROM spread GROUP BY vec_id, f HAVING count(x) = 16"

@@ -255,6 +255,14 @@ def spectrum_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.drop("sample_rate_hz"), 6, {"spectral_centroid_hz": 3, "spectral_bandwidth_hz": 3})
 
 
+def window_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spectra of the runs' own windows, whose lengths differ, as if sampled at RATE_HZ."""
+    cut = _windows(spark, sf_dir).select("run_name", "episode_ix", "window_ix", "start_index", "end_index")
+    arrays = features.window_arrays(_signals(spark, sf_dir), cut).drop("start_index", "end_index")
+    found = features.spectral_features(arrays.withColumn("sample_rate_hz", F.lit(RATE_HZ)))
+    return rounded(found.drop("sample_rate_hz"), 6, {"spectral_centroid_hz": 3, "spectral_bandwidth_hz": 3})
+
+
 def frame_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     framed = _arrays(spark, sf_dir).select("vec_id", F.posexplode(spectrograms.frames_column(spectrograms.padded_column(F.col("audio"), 16), 16, 10)).alias("frame_ix", "frame"))
     total = F.aggregate("frame", F.lit(0.0), lambda a, x: a + x)
