@@ -39,7 +39,7 @@ END_ID = 1
 #: Groups of pieces of one length that are numbered apart, at least, and the pieces of a group, about.
 SALTS, SALT_PIECES = 256, 1 << 17
 #: Words whose ids a worker keeps in each of two generations.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 300_000
 
 _workers: dict = {}
 

@@ -250,7 +250,6 @@ def components(edges: DataFrame, label: str = "links") -> DataFrame:
     its rows are two longs each, and adaptive execution splits a partition that they make
     too large, the other side having one row for it.
     """
-    spark = edges.sparkSession
     now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), label)
     seen = None
     while True:
