@@ -32,7 +32,8 @@ def parse_thresholds(text: str) -> tuple[float, ...]:
 
 
 def optional_seconds(x: Column) -> Column:
-    return F.coalesce(F.format_string("%.3fs", x), F.lit("n/a"))
+    """Seconds as text; format_string would spell null out."""
+    return F.when(x.isNull(), F.lit("n/a")).otherwise(F.format_string("%.3fs", x))
 
 
 def checked_consensus(k: int, n: int) -> None:

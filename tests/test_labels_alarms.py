@@ -162,3 +162,16 @@ def test_matching_by_definition_and_with_few_waiting(spark):
     assert sorted((x["run_name"], x["time_s"], x["matched_time"]) for x in got) == sorted(want)
     lone = spark.range(50_000).selectExpr("'r' as run_name", "cast(id as double) as time_s", "false as is_event")
     assert greedy.match_latest(lone, ["run_name"], 3.0).where("not matched").count() == 50_000
+
+
+def test_thresholds_consensus_and_optional_seconds(spark):
+    assert alarms.parse_thresholds("0.25, 0.5 ,1") == (0.25, 0.5, 1.0)
+    for bad in ("", "0.2,,0.4", "1.5", "-0.1"):
+        with pytest.raises(ValueError):
+            alarms.parse_thresholds(bad)
+    alarms.checked_consensus(2, 3)
+    for k, n in ((0, 1), (1, 0), (4, 3)):
+        with pytest.raises(ValueError):
+            alarms.checked_consensus(k, n)
+    rows = spark.createDataFrame([(1, 1.25), (2, None), (3, 12.3456)], "i int, x double").select("i", alarms.optional_seconds(F.col("x")).alias("said")).orderBy("i").collect()
+    assert [r["said"] for r in rows] == ["1.250s", "n/a", "12.346s"]

@@ -75,7 +75,12 @@ def test_export_of_a_compact_forest(spark, tmp_path):
     nodes = export_forest(spark, labeled.persist(), f"file://{tmp_path}/out")
     assert nodes.select("tree_id").distinct().count() == 8
     assert (tmp_path / "out/feature_order.txt").read_text().count("\n") == 36
-    assert "PASS" in (tmp_path / "out/README.md").read_text() and (tmp_path / "out/early_warning_forest.h").exists()
+    note, header, model = ((tmp_path / f"out/{n}").read_text() for n in ("README.md", "early_warning_forest.h", "early_warning_forest.json"))
+    size = nodes.count() * 14
+    assert "PASS" in note and f"estimated model bytes: {size}" in note and "FAIL" in sinks.deployment_note("m", 1, 1, sinks.RAM_LIMIT)
+    parsed = json.loads(model)
+    assert parsed["estimated_model_bytes"] == size and len(parsed["feature_names"]) == 36 and sum(len(t["feature"]) for t in parsed["trees"]) == nodes.count()
+    assert "#define FOREST_TREE_COUNT 8" in header and header.count("static const DecisionTreeNode forest_tree_") == 8
 
 
 def test_command_line_generates_evaluates_and_exports(spark, tmp_path, capsys):
